@@ -10,12 +10,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import bbpe, minhash, quality, secrets, token_cache
+from folioforge.llm import bbpe, lang_id, minhash, quality, secrets, token_cache, toxicity
 from folioforge.llm.common import table
 
+#: Rows that models may not learn from: a fifth, by a checksum of the id.
+HELD_OUT = F.expr("coalesce(crc32(cast(doc_id as string)), 0) % 5 = 0")
+
 OP2 = minhash.MinMaxParams(k=3, percent=85)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lang_id.train(docs.where(~HELD_OUT))
+    return lang_id.identify(docs, model).withColumn("held_out", HELD_OUT)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(labelled(docs.where(~HELD_OUT), spark, sf_dir))).withColumn("held_out", HELD_OUT)
+
+
+def labelled(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with their toxic label; the labels, not the texts, are what is joined."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return docs.select("doc_id", "text").join(labels, "doc_id")
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), OP2)
 
@@ -82,7 +102,9 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_minhash_dedup": op2_minhash_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
     "op9_token_counts": op9_token_counts,
