@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples.
 
 Texts are TF-IDF vectors over features that tell the classes apart: words, and
-five-character pieces of words, so that inflected forms share some. Labelled
+beginnings of words, so that inflected forms share some. Labelled
 examples stand in an inverted index whose postings are cut into blocks; each block
 keeps the greatest weight of every feature in it. A query takes blocks in order of
 their upper bound and stops once no other block can hold a nearer example: the
@@ -36,18 +36,32 @@ class ToxicityParams:
     is the weight of the base rate among the votes."""
 
     docs: int = 3000
-    least: int = 4
-    chi2: float = 40.0
+    least: int = 5
+    chi2: float = 50.0
     features: int = 4000
     k: int = 15
     prior: float = 0.25
     block: int = 64
 
 
-def features_of(word: str) -> list[str]:
-    """The word and its five-character pieces, ends marked."""
-    marked = f"^{word}$"
-    return [marked, *{marked[i : i + 5] for i in range(len(marked) - 4)}]
+def stems_of(word: str) -> list[str]:
+    """The beginnings of 4 to 10 characters that go on."""
+    return [word[:k] for k in range(4, min(len(word), 11))]
+
+
+def features_of(words: set[str]) -> set[str]:
+    """Of a text's words: each word; each stem that goes on (``stem+``), so that inflected
+    and compound forms share features that the bare stem hasn't; and whether two, or
+    three and more, different words go on from a stem (``stem+2``, ``stem+3``)."""
+    stems = Counter(s for w in words for s in stems_of(w))
+    out = {w + "$" for w in words}
+    for s, n in stems.items():
+        out.add(s + "+")
+        if n > 1:
+            out.add(s + "+2")
+            if n > 2:
+                out.add(s + "+3")
+    return out
 
 
 def word_counts(text: str) -> Counter:
@@ -86,20 +100,30 @@ class Index:
         for f, blocks in self.postings.items():
             for b, (_, w) in blocks.items():
                 self.bounds[f][b] = w.max()
+        self._stems = {f[: f.index("+")] for f in self.idf if "+" in f}
         self._word: dict[str, tuple[str, ...]] = {}
         self._seen: dict[tuple, tuple] = {}
 
     def vector(self, counts: Counter) -> dict[str, float]:
         """The text's TF-IDF vector of length 1; empty if it has no feature."""
         known = self._word
-        tf: Counter = Counter()
         if len(known) > CACHE:
             known.clear()
         for w in counts.keys() - known.keys():
-            known[w] = tuple(f for f in features_of(w) if f in self.idf)
+            known[w] = tuple(s for s in stems_of(w) if s in self._stems) + ((w + "$",) if w + "$" in self.idf else ())
+        tf: Counter = Counter()
+        words: Counter = Counter()
         for w, n in counts.items():
             for f in known[w]:
-                tf[f] += n
+                if f[-1] == "$":
+                    tf[f] = n
+                else:
+                    tf[f + "+"] += n
+                    words[f] += 1
+        for stem, n in words.items():
+            for f in (stem + "+2", stem + "+3")[: min(n, 3) - 1]:
+                tf[f] = 1
+        tf = Counter({f: n for f, n in tf.items() if f in self.idf})
         raw = {f: (1 + math.log(n)) * self.idf[f] for f, n in tf.items()}
         norm = math.sqrt(sum(x * x for x in raw.values()))
         return {f: x / norm for f, x in raw.items()}
@@ -169,7 +193,7 @@ def train(labelled: DataFrame, params: ToxicityParams = ToxicityParams()) -> Ind
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = _LETTERS.findall(text.lower())
-                found.update((f, toxic) for f in set().union(*map(features_of, set(words))))
+                found.update((f, toxic) for f in features_of(set(words)))
                 found["", toxic] += 1
         rows = list(found.items())
         yield batch_of(out, feature=[f for (f, _), _ in rows], toxic=[t for (_, t), _ in rows], n=[n for _, n in rows])
