@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import bbpe, lang_id, minhash, quality, secrets, token_cache, toxicity
+from folioforge.llm import bbpe, decontam, lang_id, minhash, quality, secrets, style_tree, token_cache, toxicity, warc
 from folioforge.llm.common import table
 
 #: Rows that models may not learn from: a fifth, by a checksum of the id.
@@ -92,6 +92,32 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bbpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
+#: Base 32 of SHA-1: five hexadecimal digits are four base-32 digits.
+OP7_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages
+), d AS (
+  SELECT page_id, octet_length(encode(h)) AS payload_bytes,
+    list_aggregate(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+      (((('0x' || sha1(h)[(i // 4) * 5 + 1:(i // 4) * 5 + 5])::BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1]), 'string_agg', '') AS payload_digest
+  FROM p
+), m AS (SELECT payload_digest, max(page_id) AS first FROM d GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d JOIN m USING (payload_digest)
+"""
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style_tree.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_cache.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -107,7 +133,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_decontamination": op6_decontamination,
+    "op7_warc": op7_warc,
+    "op8_html_text": op8_html_text,
     "op9_token_counts": op9_token_counts,
     "op10_secret_scan": op10_secret_scan,
 }
-SQL: dict[str, str] = {"op2_minhash_dedup": OP2_SQL, "op4_quality_rules": OP4_SQL}
+SQL: dict[str, str] = {"op2_minhash_dedup": OP2_SQL, "op4_quality_rules": OP4_SQL, "op7_warc": OP7_SQL}
