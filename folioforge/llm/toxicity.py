@@ -250,3 +250,19 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
                 yield batch_of(_SCORED, doc_id=part.column(0), score=[s for s, _ in found], predicted=[int(s >= 0.5) for s, _ in found], evidence=[e for _, e in found])
 
     return text_column(docs, "doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int, evidence array<long>")
+
+
+def keep_clean(docs: DataFrame, index: Index) -> DataFrame:
+    """The rows of ``docs`` whose text doesn't score as toxic, with all their columns, in
+    the one pass that scores them (no join by id, so repeated and null ids stay)."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    schema = docs.schema
+    at = schema.names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in slices(whole, at):
+                clean = [shared.value.score(word_counts(t or ""))[0] < 0.5 for t in part.column(at).to_pylist()]
+                yield part.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, schema)
