@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import cosine, lexical_score_tokens, tokens
+from folioforge.session import cut
 
 
 def upsert_nodes(stored: DataFrame, new: DataFrame, seq: str = "seq") -> DataFrame:
@@ -134,12 +135,13 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int, most: int | None = Non
     """
     if hops < 0:
         return seeds.select("query_id", "id", F.lit(0).alias("hop"), F.lit(0).alias("place")).limit(0), edges.limit(0).withColumn("query_id", F.lit(0))
-    steps = both_ways(edges)
+    steps = cut(both_ways(edges))
     by_query = W.partitionBy("query_id")
     first = seeds.groupBy("query_id", "id").agg(F.min("seat").alias("seat"))
     nodes = first.select("query_id", "id", F.lit(0).alias("hop"), F.row_number().over(by_query.orderBy("seat", "id")).alias("place"))
     if most is not None:
         nodes = nodes.where(F.col("place") <= most)
+    nodes = cut(nodes)
     frontier = nodes
     for hop in range(1, hops + 1):
         found = frontier.join(steps, frontier.id == steps.u).groupBy("query_id", F.col("v").alias("id")).agg(F.min("place").alias("parent"))
@@ -148,7 +150,7 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int, most: int | None = Non
         placed = new.join(size, "query_id").withColumn("place", F.col("size") + F.row_number().over(by_query.orderBy("parent", "id")))
         if most is not None:
             placed = placed.where(F.col("place") <= most)
-        frontier = placed.select("query_id", "id", F.lit(hop).alias("hop"), "place")
+        frontier = cut(placed.select("query_id", "id", F.lit(hop).alias("hop"), "place"))
         nodes = nodes.unionByName(frontier)
     a = nodes.select("query_id", F.col("id").alias("source_id"), F.col("hop").alias("_ha"))
     b = nodes.select("query_id", F.col("id").alias("target_id"), F.col("hop").alias("_hb"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from folioforge.functions.text import TOKEN, STOPWORDS, clamp, content_hash, overlap, py_strip, token_estimate
 from folioforge.operators import graph
 from folioforge.schema import KIND_RANK
+from folioforge.session import cut
 
 MODES = ("local", "global", "hybrid", "mix")
 
@@ -134,12 +135,12 @@ def finalize(queries: DataFrame, items: DataFrame, config: GraphQuery, k: int |
     ranked = dedupe(items)
     if config.rerank:
         ranked = ranked.join(F.broadcast(queries.select("query_id", "query")), "query_id").withColumn("score", clamp(0.75 * F.col("score") + 0.25 * overlap(F.col("query"), F.col("content")))).drop("query")
-    ranked = ranked.where(F.col("score") >= config.min_score)
+    ranked = cut(ranked.where(F.col("score") >= config.min_score))
     order = [F.desc("score"), *stable_order()]
     parts = []
     for i, (kind, budget) in enumerate((("chunk", config.budget_chunks), ("relation", config.budget_relations), ("entity", config.budget_entities))):
         parts.append(pick_budget(ranked.where(F.col("kind") == kind), budget, order).withColumn("section", F.lit(i)))
-    chosen = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    chosen = cut(parts[0].unionByName(parts[1]).unionByName(parts[2]))
     spent = chosen.groupBy("query_id").agg(F.sum(token_estimate(F.col("content"))).alias("spent"))
     community = ranked.where("kind = 'community'").join(spent, "query_id", "left")
     w = W.partitionBy("query_id").orderBy(*order)
@@ -157,7 +158,7 @@ def retrieve(queries: DataFrame, tables: GraphTables, config: GraphQuery = Graph
     if config.mode == "mix" and tables.chunk_scores is None:
         raise GraphConfigurationError("mix needs the hits of a vector search")
     queries = queries.where(F.length(py_strip(F.coalesce("query", F.lit("")))) > 0).withColumn("query", py_strip(F.col("query")))
-    priors = graph.node_priors(tables.nodes, tables.edges)
+    priors = cut(graph.node_priors(tables.nodes, tables.edges))
     if config.mode == "local":
         items = local(queries, tables, priors, config)
     elif config.mode == "global":
@@ -180,7 +181,7 @@ def _asked(queries: DataFrame, level: int) -> DataFrame:
 def _best_of(hits: DataFrame, key: str, n: int) -> DataFrame:
     best = hits.groupBy(F.col("query_id._of").alias("query_id"), key).agg(F.max(clamp(F.col("score"))).alias("seed_score"))
     w = W.partitionBy("query_id").orderBy(F.desc("seed_score"), key)
-    return best.withColumn("seat", F.row_number().over(w)).where(F.col("seat") <= n)
+    return cut(best.withColumn("seat", F.row_number().over(w)).where(F.col("seat") <= n))
 
 
 def local(queries: DataFrame, tables: GraphTables, priors: DataFrame, config: GraphQuery) -> DataFrame:
@@ -202,8 +203,8 @@ def local(queries: DataFrame, tables: GraphTables, priors: DataFrame, config: Gr
     ends = F.greatest(F.coalesce("_sa", F.lit(0.0)), F.coalesce("_sb", F.lit(0.0)))
     rscore = 0.35 * ends + 0.30 * F.pow(F.lit(0.85), F.least("_ha", "_hb")) + 0.25 * F.abs("weight") / top + 0.10 * F.coalesce("_prior", F.lit(0.0))
     relations = relation.select("query_id", F.col("edge_id").alias("evidence_id"), F.lit("relation").alias("kind"), render_relation().alias("content"), clamp(rscore).alias("score"), "source_segment_id")
-    items = entities.unionByName(relations)
-    return items.unionByName(hydrate_chunks(queries, items, tables.chunks, config.chunks))
+    items = cut(entities.unionByName(relations))
+    return cut(items.unionByName(hydrate_chunks(queries, items, tables.chunks, config.chunks)))
 
 
 def global_(queries: DataFrame, tables: GraphTables, priors: DataFrame, config: GraphQuery) -> DataFrame:
@@ -220,11 +221,11 @@ def global_(queries: DataFrame, tables: GraphTables, priors: DataFrame, config:
     top = scores.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= config.entities).drop("_n")
     node = top.join(tables.nodes.select("id", "type", "label", "description", "source_segment_id"), "id").join(priors.select("id", "prior"), "id", "left")
     entities = node.select("query_id", F.col("id").alias("evidence_id"), F.lit("entity").alias("kind"), render_entity().alias("content"), clamp(0.8 * F.col("seed_score") + 0.2 * F.coalesce("prior", F.lit(0.0))).alias("score"), "source_segment_id")
-    items = relations.unionByName(entities)
+    items = cut(relations.unionByName(entities))
     if tables.communities is not None:
         c = tables.communities.select("query_id", F.col("community_id").cast("string").alias("evidence_id"), F.lit("community").alias("kind"), "content", clamp(F.col("score")).alias("score"), "source_segment_id")
         items = items.unionByName(dedupe(c))
-    return items.unionByName(hydrate_chunks(queries, items, tables.chunks, config.chunks))
+    return cut(items.unionByName(hydrate_chunks(queries, items, tables.chunks, config.chunks)))
 
 
 def hydrate_chunks(queries: DataFrame, items: DataFrame, chunks: DataFrame, k: int) -> DataFrame:

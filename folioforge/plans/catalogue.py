@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.plans import graphs, retrieval
+from folioforge.plans import graphs, retrieval, splits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for _part in (retrieval, graphs):
+for _part in (retrieval, graphs, splits):
     QUERIES |= _part.QUERIES
     SQL |= _part.SQL

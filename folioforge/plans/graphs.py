@@ -11,9 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.functions import text as T
 from folioforge.operators import graph, graph_retriever
-from folioforge.session import table
+from folioforge.session import cut, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -124,9 +123,10 @@ def graph_expand_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _retriever(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    nodes, edges = tables(spark, sf_dir)
+    nodes, edges = map(cut, tables(spark, sf_dir))
     segment = F.concat(F.lit("seg"), F.pmod("doc_id", F.lit(50)).cast("string"))
     chunks = table(spark, sf_dir, "documents").groupBy(segment.alias("segment_id")).agg(F.min_by("text", "doc_id").alias("content"))
+    chunks = cut(chunks)
     asked = _asked(spark)
     near = asked.where("trim(query) <> ''").select("query_id").crossJoin(F.broadcast(chunks.select("segment_id"))).withColumn("score", (F.pmod(F.xxhash64("query_id", "segment_id"), F.lit(1000)) / 1000.0))
     found = graph_retriever.retrieve(asked, graph_retriever.GraphTables(nodes, edges, chunks, near), graph_retriever.GraphQuery(mode=mode))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: What plans here rely on; everything else is the cluster's own.
 DEFAULTS = {
@@ -21,5 +23,17 @@ def session(app: str = "folioforge", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str):
+def cut(df: DataFrame) -> DataFrame:
+    """End the lineage: a checkpoint in the shared folder of ``spark.checkpoint.dir`` (a
+    temporary folder only on a local master that has none set)."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not given and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="folioforge-"))
+    return df.checkpoint()
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
