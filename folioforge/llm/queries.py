@@ -7,27 +7,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm import bbpe, decontam, lang_id, minhash, quality, secrets, style_tree, token_cache, toxicity, warc
 from folioforge.llm.common import table
 
-#: Rows that models may not learn from: a fifth, by a checksum of the id.
-HELD_OUT = F.expr("coalesce(crc32(cast(doc_id as string)), 0) % 5 = 0")
+
+def held_out() -> Column:
+    """Rows that models may not learn from: a fifth, by a checksum of the id."""
+    return F.expr("coalesce(crc32(cast(doc_id as string)), 0) % 5 = 0")
+
 
 OP2 = minhash.MinMaxParams(k=3, percent=85)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = lang_id.train(docs.where(~HELD_OUT))
-    return lang_id.identify(docs, model).withColumn("held_out", HELD_OUT)
+    model = lang_id.train(docs.where(~held_out()))
+    return lang_id.identify(docs, model).withColumn("held_out", held_out())
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return toxicity.score(docs, toxicity.train(labelled(docs.where(~HELD_OUT), spark, sf_dir))).withColumn("held_out", HELD_OUT)
+    return toxicity.score(docs, toxicity.train(labelled(docs.where(~held_out()), spark, sf_dir))).withColumn("held_out", held_out())
 
 
 def labelled(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
