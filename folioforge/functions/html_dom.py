@@ -328,3 +328,39 @@ def links(html: str, base: str, ignore: tuple[str, ...] = (), navigation: tuple[
 
     enter(parse(html), [], False)
     return list(out.values())
+
+
+def cleanup(root: Element, ignore: list[str], styles: tuple[str, ...] = ()) -> Element:
+    """Take out elements that a class rule or a part of their style marks."""
+    for c in list(root.children):
+        if isinstance(c, Element):
+            if has_rule(c, ignore) or styles and has_style(c, list(styles)):
+                root.children.remove(c)
+            else:
+                cleanup(c, ignore, styles)
+    return root
+
+
+def duplicate_signature(e: Element) -> str:
+    """A digest of tag, text and sorted link targets: equal elements of several pages share it."""
+    import hashlib
+
+    targets = sorted(x.attrs["href"] for x in e.walk() if x.tag == "a" and x.attrs.get("href"))
+    return hashlib.md5("\x1f".join([e.tag, squash(e.text()).lower(), *targets]).encode()).hexdigest()
+
+
+def profile_urls(html: str, base: str, profile: str, *, attributes: tuple[str, ...] = ("href", "data-href", "data-url"), pattern: str = r"""(?:location(?:\.href)?\s*=|open\()\s*['"]([^'"]+)""", include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> list[str]:
+    """URLs by a static profile: ``anchors``, ``attributes``, or ``onclick_regex`` (group 1 of
+    the pattern). Filters are regular expressions; profiles that need a browser aren't here."""
+    found: list[str] = []
+    for e in parse(html).walk():
+        if profile == "anchors":
+            found += [e.attrs["href"]] if e.tag == "a" and e.attrs.get("href") else []
+        elif profile == "attributes":
+            found += [e.attrs[a] for a in attributes if e.attrs.get(a)]
+        elif profile == "onclick_regex":
+            found += re.findall(pattern, e.attrs.get("onclick", ""))
+        else:
+            raise ValueError(f"unknown static profile {profile!r}")
+    urls = dict.fromkeys(urljoin(base, u.strip()).partition("#")[0] for u in found)
+    return [u for u in urls if re.match("https?://", u) and (not include or any(re.search(p, u) for p in include)) and not any(re.search(p, u) for p in exclude)]

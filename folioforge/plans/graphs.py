@@ -6,13 +6,14 @@ from a customer or supplier to its nation weighs its balance in thousands.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.operators import graph, graph_retriever
-from folioforge.session import cut, table
+from folioforge.session import cut, scratch_root, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -175,3 +176,16 @@ SELECT item_id, array_to_string(k[1:12], ' ') AS low, array_to_string(list_trans
 def graph_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     high, low = graph_retriever.keywords(F.col("text"))
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(low, " ").alias("low"), F.array_join(high, " ").alias("high"))
+
+
+@query(f"{_G} SELECT id, type, label, (SELECT count(*) FROM edges WHERE a = id)::BIGINT AS out_edges FROM nodes")
+def graph_gml_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes and edges written as GML lines and read back."""
+    from folioforge.sources import graphs as files
+
+    nodes, edges = tables(spark, sf_dir)
+    path = f"{scratch_root(spark)}/gml-{uuid.uuid4().hex}"
+    files.save_gml(nodes, edges, path)
+    n, e = files.load_gml(spark, path)
+    out = e.groupBy(F.col("source_id").alias("id")).agg(F.count(F.lit(1)).alias("out_edges"))
+    return n.join(out, "id", "left").select("id", "type", "label", F.coalesce("out_edges", F.lit(0)).cast("long").alias("out_edges"))

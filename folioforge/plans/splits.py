@@ -222,3 +222,36 @@ def json_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
         return s.map(lambda t: jsons.as_markdown(json.loads(t)) if t else None)
 
     return table(spark, sf_dir, "events").select("event_id", run("props").alias("markdown"))
+
+
+@query("SELECT s_nationkey, count(*)::BIGINT AS row_count, ';' AS delimiter, string_agg('| ' || s_suppkey || ' | ' || s_name || ' |', chr(10) ORDER BY s_suppkey) AS body FROM supplier GROUP BY s_nationkey")
+def csv_blob_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as one CSV file a nation, read by the CSV source's parser and rendered as markdown."""
+    from folioforge.functions import tables as md
+    from folioforge.sources import files
+
+    def parse(data: bytes) -> list[tuple[str, dict]]:
+        text = data.decode()
+        d = md.sniff_delimiter(text)
+        t = md.parse_csv(text, d)
+        return [(md.render_markdown(t), {"row_count": len(t.rows), "delimiter": d})]
+
+    s = table(spark, sf_dir, "supplier")
+    line = F.concat_ws(";", F.col("s_suppkey").cast("string"), "s_name")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", line.alias("line")))), lambda x: x["line"]), "\n")
+    blobs = s.groupBy("s_nationkey").agg(F.encode(F.concat(F.lit("key;name\n"), text), "UTF-8").alias("data")).withColumn("source", F.col("s_nationkey").cast("string"))
+    rows = files.extract(blobs.select("source", "data"), parse)
+    body = F.array_join(F.slice(F.split("content", "\n"), 3, 1_000_000), "\n")
+    return rows.select(F.col("source").cast("int").alias("s_nationkey"), F.col("metadata")["row_count"].cast("long").alias("row_count"), F.col("metadata")["delimiter"].alias("delimiter"), body.alias("body"))
+
+
+@query("SELECT page_id, count(DISTINCT regexp_extract(url, '^(https?://[^/?#]+)', 1) || href) AS urls FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages) WHERE href LIKE '/%' AND NOT contains(href, 'e.') GROUP BY page_id")
+def profile_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The static ``attributes`` profile with an exclusion."""
+
+    @F.pandas_udf("array<string>")
+    def run(html: pd.Series, url: pd.Series) -> pd.Series:
+        return pd.Series([html_dom.profile_urls(h, u, "attributes", exclude=(r"://[^/]+/.*e\.",)) for h, u in zip(html, url, strict=True)])
+
+    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(run("html", "url")).alias("u"))
+    return rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("urls"))

@@ -23,15 +23,23 @@ def session(app: str = "folioforge", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only on a local master
+    that has none set."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        given = "file://" + tempfile.mkdtemp(prefix="folioforge-")
+        spark.conf.set("spark.checkpoint.dir", given)
+    return given.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """End the lineage: a checkpoint in the shared folder of ``spark.checkpoint.dir`` (a
-    temporary folder only on a local master that has none set)."""
+    """End the lineage by a checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not given and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="folioforge-"))
+        sc.setCheckpointDir(scratch_root(df.sparkSession))
     return df.checkpoint()
 
 
