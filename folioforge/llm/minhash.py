@@ -148,16 +148,17 @@ def near_duplicates(docs: DataFrame, params: MinMaxParams = MinMaxParams()) -> D
        never on signatures. Sets whose sizes alone exclude the threshold are skipped.
 
     Rows with a null or empty text or one without words have n_shingles 0 and are
-    their own component. Equal doc_ids count as one document whose texts all
-    count for links; a null doc_id is returned with a null component. ``docs`` may
-    be empty and may have any further columns; they are not read.
+    their own component. Rows keep their multiplicity: those that share a doc_id are
+    judged by their own text each (different texts whose smallest doc_id is the same
+    one share its component), and a row that repeats another is kept like it. A null
+    doc_id is returned with a null component and kept. ``docs`` may be empty and may
+    have any further columns; they are not read.
     """
     spark = docs.sparkSession
     signed, signed_path = materialize(sign(docs, params), "signed")
     classes, classes_path = materialize(
         signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "sets"
     )
-    # the rows of each bucket; a doc_id that occurs with several texts stands for all of them
     members = classes.select("rep", "n", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
     members, members_path = materialize(members.join(shared, "bucket"), "buckets")
@@ -198,7 +199,6 @@ def near_duplicates(docs: DataFrame, params: MinMaxParams = MinMaxParams()) -> D
         if left.isEmpty():
             break
         hubs = hubs * 8
-    # a doc_id with several texts joins their classes
     same = signed.where("n_shingles > 0 and doc_id is not null").select("doc_id", "set_a", "set_b", "n_shingles")
     owner = same.join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"])
     whole = owner.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
