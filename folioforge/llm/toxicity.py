@@ -31,14 +31,15 @@ CACHE = 400_000
 @dataclass(frozen=True)
 class ToxicityParams:
     """``docs``: labelled documents of either class that are learned from at most (those
-    of least hash). A feature counts if ``least`` toxic ones have it and its chi-square
-    is ``chi2`` or more; the ``features`` best are kept. ``k`` neighbours vote; ``prior``
-    is the weight of the base rate among the votes."""
+    of least hash). A feature counts if ``least`` toxic ones have it, its share among
+    them is over four times that among clean ones, and its chi-square is ``chi2`` or
+    more; the ``features`` best are kept. ``k`` neighbours vote; ``prior`` is the weight
+    of the base rate among the votes."""
 
     docs: int = 3000
     least: int = 5
     chi2: float = 50.0
-    features: int = 4000
+    features: int = 1500
     k: int = 15
     prior: float = 0.25
     block: int = 64
@@ -72,8 +73,9 @@ def word_counts(text: str) -> Counter:
 class Index:
     """Distinct example vectors with the class weights of the documents that have them.
 
-    ``vectors`` are sparse and of length 1, sorted so that like ones share blocks;
-    ``bounds[f]`` is the greatest weight of feature f in every block.
+    ``vectors`` are of length 1, sorted so that like ones share blocks; ``weights`` has
+    them by feature, block and place, ``bounds`` each feature's greatest weight in a block.
+    Both are bounded by the sample: at most ``features`` by 2 * ``docs`` numbers.
     """
 
     idf: dict[str, float]
@@ -91,15 +93,13 @@ class Index:
         self.toxic, self.clean, self.ids = self.toxic[order], self.clean[order], [self.ids[i] for i in order]
         size = self.params.block
         self.n_blocks = -(-len(self.vectors) // size)
-        postings: dict[str, dict[int, list[tuple[int, float]]]] = {}
+        self.row = {f: i for i, f in enumerate(sorted(set().union(*self.vectors)))}
+        # postings by feature, cut into blocks of examples, and each block's greatest weight
+        self.weights = np.zeros((len(self.row), self.n_blocks, size), np.float32)
         for i, v in enumerate(self.vectors):
             for f, w in v.items():
-                postings.setdefault(f, {}).setdefault(i // size, []).append((i % size, w))
-        self.postings = {f: {b: (np.array([i for i, _ in p]), np.array([w for _, w in p])) for b, p in blocks.items()} for f, blocks in postings.items()}
-        self.bounds = {f: np.zeros(self.n_blocks) for f in postings}
-        for f, blocks in self.postings.items():
-            for b, (_, w) in blocks.items():
-                self.bounds[f][b] = w.max()
+                self.weights[self.row[f], i // size, i % size] = w
+        self.bounds = self.weights.max(2) if self.n_blocks else np.zeros((len(self.row), 0), np.float32)
         self._stems = {f[: f.index("+")] for f in self.idf if "+" in f}
         self._word: dict[str, tuple[str, ...]] = {}
         self._seen: dict[tuple, tuple] = {}
@@ -109,7 +109,9 @@ class Index:
         known = self._word
         if len(known) > CACHE:
             known.clear()
-        for w in counts.keys() - known.keys():
+        for w in counts:
+            if w in known:
+                continue
             known[w] = tuple(s for s in stems_of(w) if s in self._stems) + ((w + "$",) if w + "$" in self.idf else ())
         tf: Counter = Counter()
         words: Counter = Counter()
@@ -131,27 +133,32 @@ class Index:
     def nearest(self, query: dict[str, float], k: int | None = None) -> list[tuple[float, int]]:
         """The k examples of greatest cosine above 0, and all that tie with the last."""
         k = k or self.params.k
-        limit = np.zeros(self.n_blocks)
-        for f, w in query.items():
-            if f in self.bounds:
-                limit += w * self.bounds[f]
-        found: list[tuple[float, int]] = []
-        least = 0.0
-        for b in np.argsort(-limit, kind="stable").tolist():
-            if limit[b] <= 0 or len(found) >= k and limit[b] < least - 1e-9:
-                break
-            score = np.zeros(self.params.block)
-            for f, w in query.items():
-                hit = self.postings.get(f, {}).get(b)
-                if hit is not None:
-                    score[hit[0]] += w * hit[1]
-            base = b * self.params.block
-            found += [(float(score[i]), base + int(i)) for i in np.flatnonzero(score > 0)]
-            if len(found) > k:
-                found.sort(key=lambda x: (-x[0], x[1]))
-                least = found[k - 1][0]
-                found = [x for x in found if x[0] >= least - 1e-9]
-        return sorted(found, key=lambda x: (-x[0], x[1]))
+        at = [(self.row[f], w) for f, w in query.items() if f in self.row]
+        if not at:
+            return []
+        rows, weight = np.array([r for r, _ in at]), np.array([w for _, w in at], np.float32)
+        limit = weight @ self.bounds[rows]
+        order = np.argsort(-limit, kind="stable")
+        order = order[limit[order] > 0]
+        first = order[:8]
+        score, place = self._score(rows, weight, first)
+        if len(order) > 8:
+            least = np.partition(score, -k)[-k] if len(score) >= k else 0.0
+            rest = order[8:][limit[order[8:]] >= least - 1e-5]  # no other block can hold a nearer one
+            if len(rest):
+                more, there = self._score(rows, weight, rest)
+                score, place = np.concatenate([score, more]), np.concatenate([place, there])
+        if len(score) > k:
+            near = score >= np.partition(score, -k)[-k] - 1e-6
+            score, place = score[near], place[near]
+        by = np.lexsort((place, -score))
+        return list(zip(score[by].astype(float).tolist(), place[by].tolist(), strict=True))
+
+    def _score(self, rows: np.ndarray, weight: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines above 0 within some blocks, and whose they are."""
+        found = np.tensordot(weight, self.weights[np.ix_(rows, blocks)], 1)
+        b, i = np.nonzero(found > 0)
+        return found[b, i], blocks[b] * self.params.block + i
 
     def score(self, counts: Counter) -> tuple[float, list[int]]:
         """Probability of the toxic label, and the documents of the nearest examples."""
@@ -164,7 +171,7 @@ class Index:
                 self._seen.clear()
             yes, no, near = self.params.prior * self.base, self.params.prior * (1 - self.base), []
             for cosine, i in self.nearest(query):
-                weight = cosine * cosine / (1.0001 - cosine * cosine + 0.1)
+                weight = cosine * cosine / max(0.1, 1.1 - cosine * cosine)
                 share = self.toxic[i] / (self.toxic[i] + self.clean[i])
                 yes, no = yes + weight * share, no + weight * (1 - share)
                 near.append(self.ids[i])
@@ -206,7 +213,7 @@ def train(labelled: DataFrame, params: ToxicityParams = ToxicityParams()) -> Ind
     c, d = F.lit(n1) - F.col("a"), F.lit(n0) - F.col("b")
     chi2 = (F.lit(n1 + n0) * F.pow(F.col("a") * d - F.col("b") * c, F.lit(2))) / (F.lit(float(n1)) * F.lit(float(n0)) * (F.col("a") + F.col("b")) * (c + d) + 1e-9)
     best = (
-        by.where(f"feature <> '' and a >= {params.least} and a * {n0} > b * {n1}").withColumn("chi2", chi2)
+        by.where(f"feature <> '' and a >= {params.least} and a * {n0} > 4 * b * {n1}").withColumn("chi2", chi2)
         .where(F.col("chi2") >= params.chi2).orderBy(F.desc("chi2"), "feature").limit(params.features).select("feature", "a", "b").collect()
     )
     idf = {f: 1 + math.log((n1 + n0) / (a + b)) for f, a, b in best}
