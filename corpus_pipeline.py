@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from folioforge.llm import bbpe, decontam, minhash, secrets, toxicity
 from folioforge.llm.common import discard, materialize, table
-from folioforge.llm.queries import held_out, labelled
+from folioforge.llm.queries import held_out
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the labelled examples, a fifth held out, reject go."""
-    return toxicity.keep_clean(docs, toxicity.train(labelled(docs.where(~held_out()), spark, sf_dir)))
+    return toxicity.keep_clean(docs, toxicity.train(docs.where(~held_out()), table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

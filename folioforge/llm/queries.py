@@ -30,13 +30,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return toxicity.score(docs, toxicity.train(labelled(docs.where(~held_out()), spark, sf_dir))).withColumn("held_out", held_out())
-
-
-def labelled(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts with their toxic label; the labels, not the texts, are what is joined."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    return docs.select("doc_id", "text").join(labels, "doc_id")
+    index = toxicity.train(docs.where(~held_out()), table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, index).withColumn("held_out", held_out())
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from folioforge.llm.common import batch_of, discard, materialize, slices, text_column
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-CACHE = 400_000
+CACHE = 150_000
 
 
 @dataclass(frozen=True)
@@ -167,7 +167,7 @@ class Index:
             return self.empty, []
         key = tuple(sorted((f, round(w, 12)) for f, w in query.items()))
         if key not in self._seen:
-            if len(self._seen) > CACHE:
+            if len(self._seen) > CACHE // 10:
                 self._seen.clear()
             yes, no, near = self.params.prior * self.base, self.params.prior * (1 - self.base), []
             for cosine, i in self.nearest(query):
@@ -179,20 +179,23 @@ class Index:
         return self._seen[key]
 
 
-def train(labelled: DataFrame, params: ToxicityParams = ToxicityParams()) -> Index:
-    """``labelled(doc_id, text, toxic)`` -> the index. The class sizes are counted over all
-    of it; features and examples come from a bounded sample of each class, weighted
-    back to those sizes. Without rows of both classes every score is the base rate."""
-    labelled = labelled.where("toxic in (0, 1) and text is not null").select("doc_id", "text", "toxic")
-    sizes = {int(t): n for t, n in labelled.groupBy("toxic").count().collect()}
+def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> Index:
+    """``docs(doc_id, text)`` and ``labels(doc_id, toxic)`` -> the index. The class sizes are
+    counted over all labelled rows; features and examples come from a bounded sample of
+    each class, weighted back to those sizes. Labels are joined to ids alone, and the ids
+    of the sample are few enough to go to every task: no text is shuffled. Without
+    rows of both classes every score is the base rate."""
+    there = docs.select("doc_id", F.col("text").isNotNull().alias("there")).where("there and doc_id is not null").select("doc_id")
+    marked = there.join(labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("long").alias("toxic")), "doc_id")
+    sizes = {int(t): n for t, n in marked.groupBy("toxic").count().collect()}
     total = sum(sizes.values())
     base = (sizes.get(1, 0) + 0.5) / (total + 1)
     nothing = Index({}, [], np.zeros(0), np.zeros(0), [], base, base, params)
     if len(sizes) < 2:
         return nothing
-    ranked = labelled.select("doc_id", "toxic", F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("rank"))
-    chosen = ranked.where(F.col("rank") <= params.docs).select("doc_id", "toxic")
-    sample = labelled.join(F.broadcast(chosen), ["doc_id", "toxic"], "left_semi")  # at most 2 * docs ids
+    ranked = marked.select("doc_id", "toxic", F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("rank"))
+    chosen, chosen_at = materialize(ranked.where(F.col("rank") <= params.docs).select("doc_id", "toxic"), "labelled")
+    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # at most 2 * docs ids
     out = pa.schema([("feature", pa.string()), ("toxic", pa.int64()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,10 +205,16 @@ def train(labelled: DataFrame, params: ToxicityParams = ToxicityParams()) -> Ind
                 words = _LETTERS.findall(text.lower())
                 found.update((f, toxic) for f in features_of(set(words)))
                 found["", toxic] += 1
+                if len(found) > 50_000:
+                    yield flush(found)
+        yield flush(found)
+
+    def flush(found: Counter) -> pa.RecordBatch:
         rows = list(found.items())
-        yield batch_of(out, feature=[f for (f, _), _ in rows], toxic=[t for (_, t), _ in rows], n=[n for _, n in rows])
+        found.clear()
+        return batch_of(out, feature=[f for (f, _), _ in rows], toxic=[t for (_, t), _ in rows], n=[n for _, n in rows])
 
-    counted = sample.select("text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(count, "feature string, toxic long, n long")
+    counted = sample.select("text", "toxic").mapInArrow(count, "feature string, toxic long, n long")
     by = counted.groupBy("feature").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
     by, at = materialize(by, "features")
     n = by.where("feature = ''").select("a", "b").head()
@@ -225,7 +234,7 @@ def train(labelled: DataFrame, params: ToxicityParams = ToxicityParams()) -> Ind
             v = [index.vector(word_counts(t)) for t in batch.column(1).to_pylist()]
             yield batch_of(rows_out, doc_id=batch.column(0), toxic=batch.column(2), features=[list(x) for x in v], weights=[list(x.values()) for x in v])
 
-    rows = sample.select("doc_id", "text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(embed, "doc_id long, toxic long, features array<string>, weights array<double>").collect()
+    rows = sample.select("doc_id", "text", "toxic").mapInArrow(embed, "doc_id long, toxic long, features array<string>, weights array<double>").collect()
     weight = {0: sizes[0] / n0, 1: sizes[1] / n1}
     grouped: dict[tuple, list] = {}
     empty = [1.0, 1.0]
@@ -236,7 +245,7 @@ def train(labelled: DataFrame, params: ToxicityParams = ToxicityParams()) -> Ind
         key = tuple(sorted((f, round(w, 9)) for f, w in zip(names, weights, strict=True)))
         entry = grouped.setdefault(key, [0.0, 0.0, doc_id])
         entry[toxic] += weight[toxic]
-    discard(sample.sparkSession, at)
+    discard(sample.sparkSession, at, chosen_at)
     return Index(idf, [dict(k) for k in grouped], np.array([e[1] for e in grouped.values()]), np.array([e[0] for e in grouped.values()]), [e[2] for e in grouped.values()], base, empty[1] / sum(empty), params)
 
 

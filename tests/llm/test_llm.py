@@ -288,13 +288,14 @@ def test_toxicity(spark):
     words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
     text = lambda bad: " ".join(rng.choices(words, k=40) + (["awful"] if bad else []))
     rows = [(i, text(i % 5 == 0), int(i % 5 == 0)) for i in range(300)] + [(900, None, 1), (901, "x", None)]
-    index = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    both = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    index = toxicity.train(both.select("doc_id", "text"), both.select("doc_id", "toxic"))
     texts = [text(True), text(False), None, "", "awful"]
     got = {r.doc_id: r for r in toxicity.score(frame(spark, texts), index).collect()}
     assert [got[i].predicted for i in range(5)] == [1, 0, 0, 0, 1] and got[0].evidence
     kept = toxicity.keep_clean(frame(spark, texts), index)
     assert {r.doc_id for r in kept.collect()} == {1, 2, 3} and kept.columns == frame(spark, []).columns
-    nothing = toxicity.train(spark.createDataFrame([], "doc_id long, text string, toxic int"))
+    nothing = toxicity.train(both.select("doc_id", "text"), both.select("doc_id", "toxic").limit(0))
     assert toxicity.score(frame(spark, texts), nothing).count() == 5
     assert toxicity.score(empty(spark), index).count() == 0
 
