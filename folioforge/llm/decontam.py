@@ -1,8 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment.
+"""Benchmark decontamination: n-gram seeds, then local alignment.
 
-Test items are cut into n-grams of words. Those rare in the training corpus are
-seeds; a training passage that shares a seed with an item is aligned with it by
-Smith-Waterman over words, which also scores edited or paraphrased copies.
+Test items are cut into n-grams of words, the seeds. A training passage that shares
+any seed with an item, however frequent, is aligned with it by Smith-Waterman over
+words, which also scores edited or paraphrased copies; only passages that have too
+few of the item's words to reach the least score are left out beforehand.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioforge.llm.common import batch_of, discard, materialize, slices, text_column
@@ -22,14 +22,11 @@ from folioforge.llm.wordscan import Words, scan, shingles
 
 @dataclass(frozen=True)
 class SeedParams:
-    """``n`` words a seed (all words of a shorter item). A seed is rare if ``rare``
-    documents in a million, or ``few``, have it at most; each item keeps the rarer half
-    of its seeds in any case, so items that leaked everywhere are found as well.
-    A pair whose alignment has ``least`` of the item's best score is contaminated."""
+    """``n`` words a seed (all words of a shorter item). A pair whose alignment has
+    ``least`` of the item's best score is contaminated. ``mismatch`` and ``gap`` are
+    0 at most."""
 
     n: int = 4
-    rare: int = 100
-    few: int = 10
     least: float = 0.5
     match: int = 2
     mismatch: int = -1
@@ -81,8 +78,10 @@ def smith_waterman(a: np.ndarray, b: np.ndarray, p: SeedParams) -> tuple[int, in
     return best
 
 
-_HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("seeds", pa.list_(pa.int64())), ("at", pa.int64()), ("words", pa.list_(pa.int64()))])
-_HITS_DDL = "doc_id long, item_id long, seeds array<long>, at long, words array<long>"
+_SCORED = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_word", pa.int64()), ("end_word", pa.int64())])
+_SCORED_DDL = "doc_id long, item_id long, score double, start_word long, end_word long"
+#: Alignments that a task keeps, so that equal passages cost one.
+KEPT = 20_000
 
 
 class Items:
@@ -90,6 +89,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, list[int]]], n: int) -> None:
         self.words = {i: np.array(w, np.int64) for i, w in rows}
+        self.values = {i: np.unique(w, return_counts=True) for i, w in self.words.items()}
         flat = np.array([x for _, w in rows for x in w], np.int64).view(np.uint64)
         first = np.concatenate([[0], np.cumsum([len(w) for _, w in rows])]).astype(np.int64)
         self.lengths = sorted({min(n, len(w)) for _, w in rows if w})
@@ -109,34 +109,54 @@ class Items:
             self.bits[k] = bits
 
     def hits(self, words: Words, ids: list[int]) -> Iterator[tuple]:
-        """For each row and item: the runs of seeds along a diagonal, with the words around."""
+        """For each row and item: the runs of seeds along a diagonal, as the place and the words around."""
         for k in self.lengths:
             h, row, at = seeds_of(words, k)
             found = np.flatnonzero(self.bits[k][h >> np.uint64(42)])
             if len(found):
                 found = found[np.isin(h[found], self.sorted[k])]
-            groups: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+            groups: dict[tuple[int, int], list[int]] = {}
             for i in found.tolist():
                 if words.counts[row[i]] < k:
                     continue
                 for item, q in self.table[k][int(h[i])]:
-                    groups.setdefault((int(row[i]), item), []).append((int(at[i]) - q, int(at[i]), int(h[i])))
+                    groups.setdefault((int(row[i]), item), []).append(int(at[i]) - q)
             for (r, item), seen in groups.items():
                 size = len(self.words[item])
                 slack = 8 + size // 3
                 seen.sort()
-                run: list[tuple[int, int, int]] = []
-                for x in [*seen, (1 << 60, 0, 0)]:
-                    if run and x[0] > run[0][0] + slack:
-                        low, high = max(0, run[0][0] - slack), min(int(words.counts[r]), run[-1][0] + size + slack)
+                run: list[int] = []
+                for x in [*seen, 1 << 60]:
+                    if run and x > run[0] + slack:
+                        low, high = max(0, run[0] - slack), min(int(words.counts[r]), run[-1] + size + slack)
                         s = words.first[r]
-                        yield ids[r], item, sorted({y for _, _, y in run}), low, words.hash[s + low : s + high].view(np.int64)
+                        yield ids[r], item, low, words.hash[s + low : s + high].view(np.int64)
                         run = []
                     run.append(x)
 
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+    def in_reach(self, item: int, window: np.ndarray, least: float) -> bool:
+        """Whether the window has so many of the item's words (each as often as the item
+        at most) that its alignment can score ``least``: every match uses up one."""
+        values, counts = self.values[item]
+        at = np.minimum(np.searchsorted(values, window), len(values) - 1)
+        common = np.minimum(np.bincount(at[values[at] == window], minlength=len(values)), counts).sum()
+        return common / counts.sum() >= least
+
+    def scored(self, words: Words, ids: list[int], p: SeedParams, kept: dict[tuple[int, bytes], tuple[int, int, int]]) -> Iterator[tuple]:
+        """The contaminated pairs among ``hits``: score and range of words. ``kept`` has
+        the alignments of earlier passages."""
+        for doc, item, at, window in self.hits(words, ids):
+            if not self.in_reach(item, window, p.least):
+                continue
+            key = (item, window.tobytes())
+            if key not in kept:
+                if len(kept) >= KEPT:
+                    kept.clear()
+                kept[key] = smith_waterman(window, self.words[item], p)
+            s, low, high = kept[key]
+            score = s / (p.match * len(self.words[item]))
+            if score >= p.least:
+                yield doc, item, score, at + low, at + high
 
 
 def item_words(items: DataFrame) -> DataFrame:
@@ -158,10 +178,10 @@ def contamination(docs: DataFrame, items: DataFrame, params: SeedParams = SeedPa
     contaminated pair: ``doc_id, item_id, score`` (share of the item's best alignment
     score) and ``start_word, end_word`` of the passage.
 
-    One pass over whole texts finds windows that share a seed with an item and keeps
-    the words around; how many documents have each seed is counted over all of them,
-    and only windows with a rare seed are aligned. Items go to the tasks while their
-    seeds are ``shared_seeds`` at most (counted first); larger benchmarks are handled in
+    One pass over whole texts finds windows that share a seed with an item and aligns
+    each of them there; equal windows of a task are aligned once, and how many documents
+    have a seed doesn't matter. Nothing but contaminated pairs is shuffled. Items go to
+    the tasks while their seeds are ``shared_seeds`` at most (counted first); larger benchmarks are handled in
     groups of that size, each a pass of its own. Words are runs of letters and digits,
     case folded. Null texts and those without words are clean; a null doc_id is dropped.
     Equal doc_ids are one document, of repeated item_ids one row stands. Other columns
@@ -172,45 +192,21 @@ def contamination(docs: DataFrame, items: DataFrame, params: SeedParams = SeedPa
     total = known.agg(F.sum(F.size("words"))).head()[0] or 0
     groups = max(1, -(-total // params.shared_seeds))
     texts = text_column(docs, "doc_id", "text").where("doc_id is not null and text is not null")
-    n_docs = texts.count()
     found = None
     for g in range(groups):
         part = known if groups == 1 else known.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g)
         index = spark.sparkContext.broadcast(Items([(r[0], list(r[1])) for r in part.orderBy("item_id").toLocalIterator()], params.n))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            kept: dict = {}
             for whole in batches:
                 for chunk in slices(whole, 1):
-                    rows = list(index.value.hits(scan(chunk.column(1), alnum=True), chunk.column(0).to_pylist()))
-                    for i in range(0, len(rows), 4096):
-                        r = rows[i : i + 4096]
-                        yield batch_of(_HITS, doc_id=[x[0] for x in r], item_id=[x[1] for x in r], seeds=[[_signed(s) for s in x[2]] for x in r], at=[x[3] for x in r], words=[x[4] for x in r])
+                    rows = list(index.value.scored(scan(chunk.column(1), alnum=True), chunk.column(0).to_pylist(), params, kept))
+                    yield batch_of(_SCORED, **{f.name: [r[i] for r in rows] for i, f in enumerate(_SCORED)})
 
-        one = texts.mapInArrow(run, _HITS_DDL)
+        one = texts.mapInArrow(run, _SCORED_DDL)
         found = one if found is None else found.unionByName(one)
-    hits, hits_path = materialize(found, "hits")
-    seeds = hits.select("doc_id", "item_id", F.explode("seeds").alias("seed")).distinct()
-    spread = seeds.groupBy("seed").agg(F.countDistinct("doc_id").alias("df"))
-    by_item = seeds.select("item_id", "seed").distinct().join(spread, "seed")
-    order = W.partitionBy("item_id").orderBy("df", "seed")
-    rare = by_item.select(
-        "item_id", "seed", "df", F.row_number().over(order).alias("rank"), F.count(F.lit(1)).over(W.partitionBy("item_id")).alias("n")
-    ).where((F.col("df") <= max(params.few, params.rare * n_docs // 1_000_000)) | (2 * F.col("rank") <= F.col("n") + 1))
-    wanted = hits.withColumn("key", F.xxhash64("doc_id", "item_id", "at")).select("key", "doc_id", "item_id", "at", "words", "seeds")
-    chosen = wanted.select("key", "item_id", F.explode("seeds").alias("seed")).join(rare.select("item_id", "seed"), ["item_id", "seed"], "left_semi").select("key").distinct()
-    pairs = wanted.join(chosen, "key", "left_semi").join(known.select("item_id", F.col("words").alias("item_words")), "item_id").select("doc_id", "item_id", "at", "words", "item_words")
-    out = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_word", pa.int64()), ("end_word", pa.int64())])
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc, item, at, a, b in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                s, lo, hi = smith_waterman(np.array(a, np.int64), np.array(b, np.int64), params)
-                rows.append((doc, item, s / (params.match * len(b)), at + lo, at + hi))
-            yield batch_of(out, **{f.name: [r[i] for r in rows] for i, f in enumerate(out)})
-
-    scored = pairs.mapInArrow(align, "doc_id long, item_id long, score double, start_word long, end_word long").where(F.col("score") >= params.least)
-    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", -F.col("start_word"), -F.col("end_word"))).alias("m"))
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", -F.col("start_word"), -F.col("end_word"))).alias("m"))
     result, _ = materialize(best.select("doc_id", "item_id", F.col("m.score").alias("score"), (-F.col("m.col2")).alias("start_word"), (-F.col("m.col3")).alias("end_word")), "contaminated")
-    discard(spark, hits_path, known_path)
+    discard(spark, known_path)
     return result

@@ -339,6 +339,28 @@ def test_contamination(spark):
     assert decontam.contamination(frame(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_contamination_of_hot_items(spark):
+    """Of an item that leaked everywhere, copies whose seeds are the more frequent ones: edited and partial."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    one, two = rng.choices(words, k=38), rng.choices(words, k=38)
+    edited = [f"x{i}" if i in (3, 11, 19, 27, 35) else w for i, w in enumerate(one)]
+    noise = lambda n: rng.choices(words, k=n)
+    texts = [" ".join(noise(60) + x + noise(60)) for x in [*[one] * 40, *[two] * 40, edited, two[9:29], one[:12]]]
+    bench = spark.createDataFrame([(0, " ".join(one)), (1, " ".join(two))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.contamination(frame(spark, texts), bench).collect()}
+    assert set(got) == {*((i, i // 40) for i in range(80)), (80, 0), (81, 1)}
+    assert got[80, 0] > 0.7 and 0.5 <= got[81, 1] < 0.6
+
+
+def test_left_out_windows_cannot_pass():
+    rng, p = random.Random(10), decontam.SeedParams()
+    for _ in range(500):
+        a, b = (np.array([rng.randint(0, 9) for _ in range(rng.randint(1, 20))]) for _ in range(2))
+        if not decontam.Items([(0, b.tolist())], p.n).in_reach(0, a, p.least):
+            assert decontam.smith_waterman(a, b, p)[0] / (p.match * len(b)) < p.least
+
+
 # --- archives, pages ---
 
 
