@@ -50,12 +50,13 @@ class StyleParams:
 
 
 class Node:
-    __slots__ = ("tag", "key", "name", "parent", "children", "article")
+    __slots__ = ("tag", "key", "name", "parent", "children", "article", "size", "holds")
 
     def __init__(self, tag: str, key: str, name: str, parent: Node | None) -> None:
         self.tag, self.key, self.name, self.parent = tag, key, name, parent
         self.children: list[Node | str] = []
         self.article = tag in _IN_ARTICLE or (parent is not None and parent.article)
+        self.size, self.holds = 0, False
 
 
 def parse(html: str) -> Node:
@@ -132,19 +133,41 @@ def _text_of(node: Node) -> str:
     return _SPACE.sub(" ", " ".join(parts)).strip()
 
 
-def observe(html: str) -> list[tuple[str, int, int]]:
-    """(node key, hash of its presentation, hash of its content) for each element of the
-    page that isn't furniture by itself, the page's first of each key."""
-    out, seen = [], set()
+def weigh(root: Node) -> None:
+    """Of each element that isn't in furniture: ``size``, the characters of text below it, and
+    ``holds``, whether it is or has an article."""
+    order = [root]
+    for n in order:
+        n.holds = n.tag in _IN_ARTICLE
+        n.size = sum(len(c.strip()) for c in n.children if isinstance(c, str))
+        order += [c for c in n.children if isinstance(c, Node) and not is_furniture(c)]
+    for n in reversed(order):
+        if n.parent is not None:
+            n.parent.size += n.size
+            n.parent.holds |= n.holds
+
+
+def is_main(node: Node, root: Node) -> bool:
+    """What is never cut as a whole, whatever its importance: the root nodes, and a weighed
+    node that has an article or most of the page's text below it."""
+    return node.tag in ("html", "body", "") or node.holds or 2 * node.size > root.size
+
+
+def observe(html: str) -> tuple[int, list[tuple[str, int, int]]]:
+    """A hash of the page's text, and (node key, hash of its presentation, hash of its
+    content) for each element of the page that isn't furniture by itself, the page's
+    first of each key."""
+    out, seen, texts = [], set(), []
     stack = [parse(html)]
     while stack:
         n = stack.pop()
+        texts += [c for c in n.children if isinstance(c, str)]
         if n.tag and n.key not in seen and not n.article:
             seen.add(n.key)
             shape = ",".join(c.tag if isinstance(c, Node) else "#" for c in n.children)
             out.append((n.key, hash64(shape), hash64(_text_of(n))))
-        stack += [c for c in n.children if isinstance(c, Node) and not c.article and not is_furniture(c)]
-    return out
+        stack += [c for c in n.children if isinstance(c, Node) and not is_furniture(c)]
+    return hash64("\n".join(texts)), out
 
 
 def hash64(s: str) -> int:
@@ -152,8 +175,11 @@ def hash64(s: str) -> int:
 
 
 def blocks_of(html: str, low: frozenset[str]) -> str:
-    """The page's text without furniture and the branches ``low``: blocks joined by newlines."""
+    """The page's text without furniture and the branches ``low``: blocks joined by newlines.
+    A page that would lose all of its text keeps those branches."""
     root = parse(html)
+    if low:
+        weigh(root)
     out: list[str] = []
     inline: list[str] = []
 
@@ -171,7 +197,7 @@ def blocks_of(html: str, low: frozenset[str]) -> str:
             inline.append(n)
         elif kind:
             close()
-        elif n.key in low and not n.article or is_furniture(n):
+        elif is_furniture(n) or n.key in low and not n.article and not is_main(n, root):
             if n.tag in BLOCKS:
                 close()
             continue
@@ -183,7 +209,7 @@ def blocks_of(html: str, low: frozenset[str]) -> str:
                 stack.append((1, n))
             stack += [(0, c) for c in reversed(n.children)]
     close()
-    return "\n".join(out)
+    return blocks_of(html, frozenset()) if low and not out else "\n".join(out)
 
 
 def importance(nodes: DataFrame) -> DataFrame:
@@ -203,7 +229,8 @@ def importance(nodes: DataFrame) -> DataFrame:
     return shape.join(content, ["host", "node"]).select("host", "node", F.col("m").alias("pages"), F.greatest("e", "ec").alias("importance"))
 
 
-_OBSERVED = pa.schema([("host", pa.string()), ("node", pa.string()), ("shape", pa.int64()), ("content", pa.int64())])
+_OBSERVED = pa.schema([("host", pa.string()), ("page", pa.int64()), ("node", pa.list_(pa.string())), ("shape", pa.list_(pa.int64())), ("content", pa.list_(pa.int64()))])
+_OBSERVED_DDL = "host string, page long, node array<string>, shape array<long>, content array<long>"
 _TEXT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
@@ -216,7 +243,8 @@ def extract(pages: DataFrame, params: StyleParams = StyleParams()) -> DataFrame:
     """``pages(page_id, url, html, ...)`` -> ``page_id, url, text, n_chars`` for every row.
 
     One pass observes the style nodes, an aggregation judges them, a second pass over
-    the pages takes the unimportant branches out. Only nodes of low importance are
+    the pages takes the unimportant branches out. Pages of a host with equal texts count
+    as one, so copies don't make a node unimportant. Only nodes of low importance are
     sent to the second pass, as a list for each host, joined by host. A null html
     gives an empty text; a page without a host is judged with others that have none.
     Rows keep their multiplicity; other columns aren't read; no page gives no row.
@@ -228,11 +256,12 @@ def extract(pages: DataFrame, params: StyleParams = StyleParams()) -> DataFrame:
                 rows = []
                 for url, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     if html:
-                        host = host_of(url)
-                        rows += [(host, *x) for x in observe(html)]
+                        page, found = observe(html)
+                        rows.append((host_of(url), page, *([x[i] for x in found] for i in range(3))))
                 yield batch_of(_OBSERVED, **{f.name: [r[i] for r in rows] for i, f in enumerate(_OBSERVED)})
 
-    seen, path = materialize(pages.select("url", "html").mapInArrow(look, "host string, node string, shape long, content long"), "style-nodes")
+    distinct, path = materialize(pages.select("url", "html").mapInArrow(look, _OBSERVED_DDL).dropDuplicates(["host", "page"]), "style-nodes")
+    seen = distinct.select("host", F.inline(F.arrays_zip("node", "shape", "content")))
     judged = importance(seen).where((F.col("pages") >= params.pages) & (F.col("importance") < params.least))
     low, low_path = materialize(judged.groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("low")), "style-low")
     discard(pages.sparkSession, path)

@@ -408,6 +408,21 @@ def test_importance(spark):
     assert got["a"] == (10, pytest.approx(1.0)) and got["b"] == (10, pytest.approx(0.0))
 
 
+def extracted(spark, htmls):
+    pages = spark.createDataFrame([(i, f"http://h.example/{i}", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in style_tree.extract(pages).collect()}
+
+
+def test_host_of_copies(spark):
+    page = "<html><body><div class=top>Welcome to the site</div>%s</body></html>"
+    article = [page % f"<article><h1>Title {min(i, 20)}</h1><p>the text of page {min(i, 20)}</p></article>" for i in range(300)]
+    got = extracted(spark, article)
+    assert all(got[i] == f"Title {min(i, 20)}\nthe text of page {min(i, 20)}" for i in range(300))
+    plain = [page % f"<div class=body>a longer text of page {min(i, 20)}</div>" for i in range(300)]
+    assert extracted(spark, plain) == {i: f"a longer text of page {min(i, 20)}" for i in range(300)}
+    assert set(extracted(spark, [page % f"<!-- {i} -->" for i in range(20)]).values()) == {"Welcome to the site"}
+
+
 # --- secrets ---
 
 
