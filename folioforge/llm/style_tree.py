@@ -4,7 +4,9 @@ The pages of a host are merged into one tree: an element node stands for the
 elements reached by one path of tags and classes, with the child sequences
 (presentations) seen under it; a text node for what stands in it. A node whose
 presentations and contents are the same on page after page has low entropy and is
-site furniture. Branches of low importance, and elements whose tag or class says
+site furniture. Contents are judged one by one, by the information of each, whose mean
+is the entropy: of siblings with one path only the repeated ones are unimportant.
+Branches of low importance, and elements whose tag or class says
 what they are, are taken out of each page; the blocks that are left are the text.
 """
 
@@ -42,8 +44,8 @@ _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 
 @dataclass(frozen=True)
 class StyleParams:
-    """A node that at least ``pages`` pages of its host have is judged by its importance, in
-    [0, 1]; below ``least`` its branch goes."""
+    """A content that at least ``pages`` distinct pages of its host have at one node is judged by
+    its information, in [0, 1]; below ``least`` the branches with it go."""
 
     pages: int = 8
     least: float = 0.2
@@ -153,30 +155,33 @@ def is_main(node: Node, root: Node) -> bool:
     return node.tag in ("html", "body", "") or node.holds or 2 * node.size > root.size
 
 
-def observe(html: str) -> tuple[int, list[tuple[str, int, int]]]:
-    """A hash of the page's text, and (node key, hash of its presentation, hash of its
-    content) for each element of the page that isn't furniture by itself, the page's
-    first of each key."""
-    out, seen, texts = [], set(), []
+def content_of(node: Node) -> tuple[int, int]:
+    """Hashes of the element's presentation, and of its style node with that and its text."""
+    shape = ",".join(c.tag if isinstance(c, Node) else "#" for c in node.children)
+    return hash64(shape), hash64(f"{node.key}\0{shape}\0{_text_of(node)}")
+
+
+def observe(html: str) -> tuple[int, list[tuple[int, int, int]]]:
+    """A hash of the page's text, and (hashes of the node key, its presentation, its content)
+    for each element of the page that isn't furniture by itself; equal ones once."""
+    out, texts = {}, []
     stack = [parse(html)]
     while stack:
         n = stack.pop()
         texts += [c for c in n.children if isinstance(c, str)]
-        if n.tag and n.key not in seen and not n.article:
-            seen.add(n.key)
-            shape = ",".join(c.tag if isinstance(c, Node) else "#" for c in n.children)
-            out.append((n.key, hash64(shape), hash64(_text_of(n))))
+        if n.tag not in ("html", "body", "") and not n.article:
+            out[(hash64(n.key), *content_of(n))] = None
         stack += [c for c in n.children if isinstance(c, Node) and not is_furniture(c)]
-    return hash64("\n".join(texts)), out
+    return hash64("\n".join(texts)), list(out)
 
 
 def hash64(s: str) -> int:
     return xxhash.xxh64_intdigest(s) - (1 << 63)
 
 
-def blocks_of(html: str, low: frozenset[str]) -> str:
-    """The page's text without furniture and the branches ``low``: blocks joined by newlines.
-    A page that would lose all of its text keeps those branches."""
+def blocks_of(html: str, low: frozenset[int]) -> str:
+    """The page's text without furniture and the branches with a content in ``low``: blocks
+    joined by newlines. A page that would lose all of its text keeps those branches."""
     root = parse(html)
     if low:
         weigh(root)
@@ -197,7 +202,7 @@ def blocks_of(html: str, low: frozenset[str]) -> str:
             inline.append(n)
         elif kind:
             close()
-        elif is_furniture(n) or n.key in low and not n.article and not is_main(n, root):
+        elif is_furniture(n) or low and not n.article and not is_main(n, root) and content_of(n)[1] in low:
             if n.tag in BLOCKS:
                 close()
             continue
@@ -229,8 +234,18 @@ def importance(nodes: DataFrame) -> DataFrame:
     return shape.join(content, ["host", "node"]).select("host", "node", F.col("m").alias("pages"), F.greatest("e", "ec").alias("importance"))
 
 
-_OBSERVED = pa.schema([("host", pa.string()), ("page", pa.int64()), ("node", pa.list_(pa.string())), ("shape", pa.list_(pa.int64())), ("content", pa.list_(pa.int64()))])
-_OBSERVED_DDL = "host string, page long, node array<string>, shape array<long>, content array<long>"
+def information(nodes: DataFrame) -> DataFrame:
+    """``(host, node, content, first)``, a row for each content of a node on each distinct page
+    (the node's ``first`` row there says so) -> ``pages`` and ``information`` of each content: how
+    unexpected it is on a page with the node, from 0 (all pages have it) to 1 (a single one)."""
+    n = nodes.groupBy("host", "node", "content").agg(F.count(F.lit(1)).alias("pages"), F.sum("first").alias("f"))
+    with_node = n.groupBy("host", "node").agg(F.sum("f").alias("m"))
+    log = lambda c: F.log(F.col(c).cast("double"))
+    return n.join(with_node, ["host", "node"]).select("host", "node", "content", "pages", F.when(F.col("m") > 1, 1 - log("pages") / log("m")).otherwise(1.0).alias("information"))
+
+
+_OBSERVED = pa.schema([("host", pa.string()), ("page", pa.int64()), ("node", pa.list_(pa.int64())), ("shape", pa.list_(pa.int64())), ("content", pa.list_(pa.int64())), ("first", pa.list_(pa.int32()))])
+_OBSERVED_DDL = "host string, page long, node array<long>, shape array<long>, content array<long>, first array<int>"
 _TEXT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
@@ -243,8 +258,8 @@ def extract(pages: DataFrame, params: StyleParams = StyleParams()) -> DataFrame:
     """``pages(page_id, url, html, ...)`` -> ``page_id, url, text, n_chars`` for every row.
 
     One pass observes the style nodes, an aggregation judges them, a second pass over
-    the pages takes the unimportant branches out. Pages of a host with equal texts count
-    as one, so copies don't make a node unimportant. Only nodes of low importance are
+    the pages takes the branches with unimportant contents out. Pages of a host with equal texts count
+    as one, so copies don't make a content unimportant. Only contents of low information are
     sent to the second pass, as a list for each host, joined by host. A null html
     gives an empty text; a page without a host is judged with others that have none.
     Rows keep their multiplicity; other columns aren't read; no page gives no row.
@@ -257,13 +272,16 @@ def extract(pages: DataFrame, params: StyleParams = StyleParams()) -> DataFrame:
                 for url, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     if html:
                         page, found = observe(html)
-                        rows.append((host_of(url), page, *([x[i] for x in found] for i in range(3))))
+                        nodes = [x[0] for x in found]
+                        starts = dict.fromkeys(nodes)
+                        first = [int(starts.pop(x, 0) is None) for x in nodes]
+                        rows.append((host_of(url), page, *([x[i] for x in found] for i in range(3)), first))
                 yield batch_of(_OBSERVED, **{f.name: [r[i] for r in rows] for i, f in enumerate(_OBSERVED)})
 
     distinct, path = materialize(pages.select("url", "html").mapInArrow(look, _OBSERVED_DDL).dropDuplicates(["host", "page"]), "style-nodes")
-    seen = distinct.select("host", F.inline(F.arrays_zip("node", "shape", "content")))
-    judged = importance(seen).where((F.col("pages") >= params.pages) & (F.col("importance") < params.least))
-    low, low_path = materialize(judged.groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("low")), "style-low")
+    seen = distinct.select("host", F.inline(F.arrays_zip("node", "shape", "content", "first")))
+    judged = information(seen).where((F.col("pages") >= params.pages) & (F.col("information") < params.least))
+    low, low_path = materialize(judged.groupBy("host").agg(F.sort_array(F.collect_set("content")).alias("low")), "style-low")
     discard(pages.sparkSession, path)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

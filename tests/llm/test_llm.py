@@ -423,6 +423,15 @@ def test_host_of_copies(spark):
     assert set(extracted(spark, [page % f"<!-- {i} -->" for i in range(20)]).values()) == {"Welcome to the site"}
 
 
+def test_repeated_siblings(spark):
+    """Only the repeated one of siblings with one path goes, wherever it stands."""
+    unique = [(f"first of page {i} in full", f"second of page {i} in full") for i in range(12)]
+    last = [f"<body><div class=content><p>{a}</p><p>{b}</p><p>same line</p></div></body>" for a, b in unique]
+    assert extracted(spark, last) == {i: f"{a}\n{b}" for i, (a, b) in enumerate(unique)}
+    first = [f"<body><div class=content><p>same line</p><p>{a}</p><p>{b}</p></div></body>" for a, b in unique]
+    assert extracted(spark, first) == {i: f"{a}\n{b}" for i, (a, b) in enumerate(unique)}
+
+
 # --- secrets ---
 
 
