@@ -6,6 +6,9 @@ elements reached by one path of tags and classes, with the child sequences
 presentations and contents are the same on page after page has low entropy and is
 site furniture. Contents are judged one by one, by the information of each, whose mean
 is the entropy: of siblings with one path only the repeated ones are unimportant.
+Within an article a repeated content goes only if its whole node is unimportant, so
+that a recurring paragraph among others stays, and elements within a block's text
+aren't judged there.
 Branches of low importance, and elements whose tag or class says
 what they are, are taken out of each page; the blocks that are left are the text.
 """
@@ -161,16 +164,22 @@ def content_of(node: Node) -> tuple[int, int]:
     return hash64(shape), hash64(f"{node.key}\0{shape}\0{_text_of(node)}")
 
 
-def observe(html: str) -> tuple[int, list[tuple[int, int, int]]]:
-    """A hash of the page's text, and (hashes of the node key, its presentation, its content)
-    for each element of the page that isn't furniture by itself; equal ones once."""
+def judged(node: Node) -> bool:
+    """All elements but the root nodes and articles themselves; within articles only blocks."""
+    return node.tag not in ("html", "body", "", *_IN_ARTICLE) and (not node.article or node.tag in BLOCKS)
+
+
+def observe(html: str) -> tuple[int, list[tuple[int, int, int, bool]]]:
+    """A hash of the page's text, and (hashes of the node key, its presentation, its content;
+    whether it is in an article) for each element of the page that isn't furniture by
+    itself; equal ones once."""
     out, texts = {}, []
     stack = [parse(html)]
     while stack:
         n = stack.pop()
         texts += [c for c in n.children if isinstance(c, str)]
-        if n.tag not in ("html", "body", "") and not n.article:
-            out[(hash64(n.key), *content_of(n))] = None
+        if judged(n):
+            out[(hash64(n.key), *content_of(n), n.article)] = None
         stack += [c for c in n.children if isinstance(c, Node) and not is_furniture(c)]
     return hash64("\n".join(texts)), list(out)
 
@@ -202,7 +211,7 @@ def blocks_of(html: str, low: frozenset[int]) -> str:
             inline.append(n)
         elif kind:
             close()
-        elif is_furniture(n) or low and not n.article and not is_main(n, root) and content_of(n)[1] in low:
+        elif is_furniture(n) or low and judged(n) and not is_main(n, root) and content_of(n)[1] in low:
             if n.tag in BLOCKS:
                 close()
             continue
@@ -244,8 +253,8 @@ def information(nodes: DataFrame) -> DataFrame:
     return n.join(with_node, ["host", "node"]).select("host", "node", "content", "pages", F.when(F.col("m") > 1, 1 - log("pages") / log("m")).otherwise(1.0).alias("information"))
 
 
-_OBSERVED = pa.schema([("host", pa.string()), ("page", pa.int64()), ("node", pa.list_(pa.int64())), ("shape", pa.list_(pa.int64())), ("content", pa.list_(pa.int64())), ("first", pa.list_(pa.int32()))])
-_OBSERVED_DDL = "host string, page long, node array<long>, shape array<long>, content array<long>, first array<int>"
+_OBSERVED = pa.schema([("host", pa.string()), ("page", pa.int64()), ("node", pa.list_(pa.int64())), ("shape", pa.list_(pa.int64())), ("content", pa.list_(pa.int64())), ("inside", pa.list_(pa.bool_())), ("first", pa.list_(pa.int32()))])
+_OBSERVED_DDL = "host string, page long, node array<long>, shape array<long>, content array<long>, inside array<boolean>, first array<int>"
 _TEXT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
@@ -275,13 +284,15 @@ def extract(pages: DataFrame, params: StyleParams = StyleParams()) -> DataFrame:
                         nodes = [x[0] for x in found]
                         starts = dict.fromkeys(nodes)
                         first = [int(starts.pop(x, 0) is None) for x in nodes]
-                        rows.append((host_of(url), page, *([x[i] for x in found] for i in range(3)), first))
+                        rows.append((host_of(url), page, *([x[i] for x in found] for i in range(4)), first))
                 yield batch_of(_OBSERVED, **{f.name: [r[i] for r in rows] for i, f in enumerate(_OBSERVED)})
 
     distinct, path = materialize(pages.select("url", "html").mapInArrow(look, _OBSERVED_DDL).dropDuplicates(["host", "page"]), "style-nodes")
-    seen = distinct.select("host", F.inline(F.arrays_zip("node", "shape", "content", "first")))
-    judged = information(seen).where((F.col("pages") >= params.pages) & (F.col("information") < params.least))
-    low, low_path = materialize(judged.groupBy("host").agg(F.sort_array(F.collect_set("content")).alias("low")), "style-low")
+    seen = distinct.select("host", F.inline(F.arrays_zip("node", "shape", "content", "inside", "first")))
+    repeated = information(seen).where((F.col("pages") >= params.pages) & (F.col("information") < params.least))
+    varied = importance(seen.where("inside")).where(F.col("importance") >= params.least).select("host", "node")
+    repeated = repeated.join(varied, ["host", "node"], "left_anti")
+    low, low_path = materialize(repeated.groupBy("host").agg(F.sort_array(F.collect_set("content")).alias("low")), "style-low")
     discard(pages.sparkSession, path)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -432,6 +432,13 @@ def test_repeated_siblings(spark):
     assert extracted(spark, first) == {i: f"{a}\n{b}" for i, (a, b) in enumerate(unique)}
 
 
+def test_repeats_within_articles(spark):
+    """The tree decides within an article, too; a paragraph that recurs among others is its text."""
+    html = "<body><%s><h1>Title %d</h1><div class=box><p>Sign up for our letter</p></div><p>Is it <b>so</b>?</p><p>the text of page %d in full</p></%s></body>"
+    for tag in ("article", "main"):
+        assert extracted(spark, [html % (tag, i, i, tag) for i in range(12)]) == {i: f"Title {i}\nIs it so?\nthe text of page {i} in full" for i in range(12)}
+
+
 # --- secrets ---
 
 
