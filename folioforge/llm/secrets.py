@@ -14,7 +14,7 @@ import math
 import random
 import re
 import string
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -35,6 +35,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 #: Strings that the automata judge.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: Examples are learned up to this length, and parts of a candidate that span cuts have it at most.
 LONGEST = 64
 _HINT = "(?i)passw|secret|token|api"
 _inside = np.zeros(256, bool)
@@ -156,9 +157,10 @@ class Automaton:
         return Automaton([{c: [place[t], n] for c, (t, n) in self.moves[s].items()} for s in order], [self.ends[s] for s in order])
 
     def log_likelihood(self, word: str, unseen: float = 1e-4) -> float:
-        """Of the word and its end. A move that no example made costs log ``unseen``."""
+        """Of the word and its end (longer ones than any example have none). A move that no
+        example made costs log ``unseen``."""
         s, total = 0, 0.0
-        for c in word[:LONGEST]:
+        for c in word:
             k = _symbol(c)
             step = self.moves[s].get(k)
             if step is None:
@@ -198,6 +200,36 @@ FORMATS: dict[str, tuple[str, str, tuple[int, ...]]] = {
 }
 
 
+#: Where a part of a candidate may begin or end: at these, and where a format with a head begins.
+_CUT = re.compile("[/.=]+")
+_HEADS = [(head, sizes) for head, _, sizes in FORMATS.values() if head]
+
+
+def parts(text: str, s: int, e: int) -> list[tuple[int, int]]:
+    """Ranges of the candidate text[s:e] that may be a secret by themselves: those between
+    two cuts next to each other, and between any two at most ``LONGEST`` apart."""
+    starts, ends = {s}, {e}
+    for m in _CUT.finditer(text, s, e):
+        ends.add(m.start())
+        starts.add(m.end())
+    for head, sizes in _HEADS:
+        at = text.find(head, s, e)
+        while at >= 0:
+            starts.add(at)
+            ends |= {at} | {x for n in sizes if (x := at + len(head) + n) <= e}
+            at = text.find(head, at + 1, e)
+    order = sorted(ends)
+    out = []
+    for a in sorted(starts):
+        i = bisect_right(order, a)
+        for b in order[i:]:
+            if b - a > LONGEST and b != order[i]:
+                break
+            if b - a >= 16:
+                out.append((a, b))
+    return out
+
+
 def labelled_examples(each: int = 120, seed: int = 11) -> dict[str, list[str]]:
     """Credentials of known formats, drawn anew from a fixed seed: no real ones."""
     rng = random.Random(seed)
@@ -213,25 +245,49 @@ class Scanner:
     least: float = 12.0
 
     def score(self, word: str) -> tuple[float, str]:
-        word = word[:LONGEST]
         base = self.background.log_likelihood(word)
         return max((a.log_likelihood(word) - base, name) for name, a in self.formats.items())
 
+    def _passes(self, word: str) -> float:
+        """The score of a word that can be a secret, else 0."""
+        if len(word) < 16 or not any(c.isdigit() for c in word):
+            return 0.0
+        score = self.score(word)[0]
+        return score if score >= self.least else 0.0
+
+    def _within(self, text: str, s: int, e: int) -> Iterator[tuple[int, int]]:
+        """The secrets in text[s:e], which no base span touches: the whole if it is one by its
+        first characters or all of them, else its best parts that don't overlap."""
+        word = text[s:e].strip(".=-")
+        if len(word) < 16:
+            return
+        at = text.index(word, s)
+        if self._passes(word[:LONGEST]) or len(word) > LONGEST and self._passes(word):
+            yield at, at + len(word)
+            return
+        taken: list[tuple[int, int]] = []
+        scored = [(-score, a, b) for a, b in parts(text, at, at + len(word)) if (score := self._passes(text[a:b]))]
+        for _, a, b in sorted(scored):
+            i = bisect_left(taken, (a, b))
+            if (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or taken[i][0] >= b):
+                taken.insert(i, (a, b))
+        yield from taken
+
     def spans(self, text: str) -> list[tuple[int, int, int]]:
-        """The base spans and those candidates beside them that score as a secret."""
+        """The base spans and what scores as a secret beside them: candidates, or parts of
+        them (behind a path or a name, beside a base span)."""
         found = base_spans(text)
         starts = [s for s, _, _ in found]
         reach = list(accumulate((e for _, _, e in found), max))  # the furthest end so far
+        more: list[tuple[int, int, int]] = []
         for m in CANDIDATE.finditer(text):
-            s, e = m.span()
-            before = bisect_left(starts, e)
-            if before and reach[before - 1] > s:
-                continue
-            word = m[0].strip(".=-")
-            if len(word) >= 16 and any(c.isdigit() for c in word) and self.score(word)[0] >= self.least:
-                at = s + m[0].index(word)
-                found.append((at, 3, at + len(word)))
-        return sorted(found)
+            at, e = m.span()
+            # base spans that end behind the candidate's start, in order
+            for i in range(bisect_right(reach, at), bisect_left(starts, e)):
+                more += [(a, 3, b) for a, b in self._within(text, at, starts[i])]
+                at = max(at, found[i][2])
+            more += [(a, 3, b) for a, b in self._within(text, at, e)]
+        return sorted(found + more)
 
 
 def train(docs: DataFrame, *, sample: int = 20_000, words: int = 4_000, per_format: int = 300) -> Scanner:

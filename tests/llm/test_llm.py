@@ -478,6 +478,21 @@ def test_automata_tell_formats():
     assert scanner.spans("Internationalisierung misunderstandings, disproportionately") == []
 
 
+def test_secrets_within_candidates():
+    plain = ["internationalisation", "Donaudampfschifffahrt", "unbelievablylongword", "responsibilities", "straightforwardness"] * 20
+    scanner = secrets.Scanner({k: secrets.Automaton.infer(v) for k, v in secrets.labelled_examples().items()}, secrets.Background(plain))
+    key, other = "ghp_" + "aB3dE6gH9jK2mN5pQ8sT1vW4yZ7aB3dE6gH9", "sk_live_" + "Zq8Lw3Xn5Vb7Kc2Md9Rt4Gy6"
+    path = "/the/internationalisation/of/straightforwardness/and/other/responsibilities/"
+    for head, tail in ((path, ""), ("auth=", ""), (path + "auth=", "/" + path), ("name_", ""), ("AKIA" + "ABCD2345" * 2 + "/", ""), ("", "=" + "0af3" * 8)):
+        text = f"see {head}{key}{tail} there"
+        spans = [(s, e) for s, k, e in scanner.spans(text) if k == 3]
+        assert any(s <= text.index(key) and e >= text.index(key) + len(key) for s, e in spans), text
+        assert key not in secrets.redact_text(text, scanner.spans(text))
+    clean = secrets.redact_text(text := f"{path}{key}/{path}{other}", scanner.spans(text))
+    assert clean.startswith(path + "[FORMAT]/") and clean.endswith("/of/straightforwardness/and/other/responsibilities/[FORMAT]")
+    assert scanner.spans(path * 40) == []
+
+
 def test_secret_scan(spark):
     texts = ["password=abcdef1 and token = \"0123456789abcdef0123456789abcdef\"", None, "", "clean text", "ghp_" + "aB3dE6gH9jK2mN5pQ8sT1vW4yZ7aB3dE6gH9"]
     docs = frame(spark, texts)
