@@ -95,3 +95,12 @@ def test_semantic_windows(spark):
     two = split.semantic_boundaries(rows, by=["d"], order="p", threshold=0.6, window=2)
     assert one.select("chunk_id").distinct().count() == 3
     assert two.select("chunk_id").distinct().count() == 1
+
+
+def test_split_metadata_keeps_blank_lines(spark, tmp_path):
+    from folioforge.plans import splits
+
+    texts = ["a\nbc", "a\n\nbc\n\n\na", "\nbc", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in splits.split_metadata(spark, str(tmp_path)).collect())
+    assert got == [(0, 0, 0), (0, 1, 2), (1, 0, 0), (1, 1, 3), (1, 2, 8), (2, 0, 1)]
