@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text a Python worker handles at a time; one longer text is taken alone.
 SLICE_BYTES = 2 << 20
+#: Bytes of a batch between the JVM and a Python worker at most, but for one longer row.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,3 +102,61 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.record_batch([columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+class Memo(dict):
+    """What a Python worker remembers from text to text, bounded in bytes: whoever adds
+    says about how many (``charge``), and ``trim`` forgets all once they are more than ``limit``."""
+
+    def __init__(self, limit: int) -> None:
+        super().__init__()
+        self.limit, self.held = limit, 0
+
+    def charge(self, n_bytes: int) -> None:
+        self.held += n_bytes
+
+    def trim(self) -> bool:
+        if self.held <= self.limit:
+            return False
+        self.clear()
+        self.held = 0
+        return True
+
+    def __reduce__(self) -> tuple:
+        return Memo, (self.limit,)  # what is remembered stays in its process
+
+
+@lru_cache(1)
+def _trim():
+    """The C library's call that gives free memory back to the system, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return None
+
+
+def release() -> None:
+    """At the end of a task: workers live on for other stages, so give back what this one used."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if (trim := _trim()) is not None:
+        trim(0)
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` in batches of bounded bytes; memory is given back at a task's end."""
+    conf = df.sparkSession.conf
+    if not 0 < _bytes(conf.get(_BATCH)) <= BATCH_BYTES:
+        conf.set(_BATCH, str(BATCH_BYTES))
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def _bytes(size: str) -> int:
+    """A size as Spark's settings have it."""
+    number = size.rstrip("bBkKmMgG")
+    return int(number or 0) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30}[size[len(number) :].lower()[:1]]
