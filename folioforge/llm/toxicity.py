@@ -1,11 +1,14 @@
 """Toxicity by the nearest labelled examples.
 
-Texts are TF-IDF vectors over features that tell the classes apart: words, and
-beginnings of words, so that inflected forms share some. Labelled
-examples stand in an inverted index whose postings are cut into blocks; each block
-keeps the greatest weight of every feature in it. A query takes blocks in order of
-their upper bound and stops once no other block can hold a nearer example: the
-cosines are exact. Neighbours vote with a weight that falls with distance.
+Texts are TF-IDF vectors over all words of the labelled examples, and over the beginnings
+of words that tell the classes apart, so that inflected forms share some. A
+feature's weight is its inverse document frequency times its correlation with the label
+(supervised term weighting), both from the examples. Examples stand in an inverted
+index whose postings are cut into blocks; each block keeps the greatest weight of every
+feature in it. A query takes blocks in order of their upper bound and stops once
+no other block can hold a nearer example: the cosines are exact. Neighbours vote with a
+weight that falls with distance, and the vote is calibrated by what examples
+get from the others.
 """
 
 from __future__ import annotations
@@ -19,27 +22,26 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import batch_of, discard, materialize, slices, text_column
+from folioforge.llm.common import Memo, batch_of, discard, in_arrow, materialize, slices
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-CACHE = 150_000
+#: Bytes of words that a worker remembers with their features, about.
+CACHE_BYTES = 24 << 20
 
 
 @dataclass(frozen=True)
 class ToxicityParams:
     """``docs``: labelled documents of either class that are learned from at most (those
-    of least hash). A feature counts if ``least`` toxic ones have it, its share among
-    them is over four times that among clean ones, and its chi-square is ``chi2`` or
-    more; the ``features`` best are kept. ``k`` neighbours vote; ``prior`` is the weight
-    of the base rate among the votes."""
-
-    docs: int = 3000
-    least: int = 5
-    chi2: float = 50.0
-    features: int = 1500
+    of least hash); ``calibrate``: how many of either class the vote is calibrated with. Every
+    word of theirs is a feature; a beginning of words is one if the chi-square of its
+    correlation with the label is ``chi2`` or more. ``k`` neighbours vote; ``prior`` is the weight
+    of the base rate among the votes; ``block`` is how many examples share a block."""
+
+    docs: int = 1500
+    calibrate: int = 300
+    chi2: float = 30.0
     k: int = 15
     prior: float = 0.25
     block: int = 64
@@ -50,203 +52,281 @@ def stems_of(word: str) -> list[str]:
     return [word[:k] for k in range(4, min(len(word), 11))]
 
 
-def features_of(words: set[str]) -> set[str]:
-    """Of a text's words: each word; each stem that goes on (``stem+``), so that inflected
-    and compound forms share features that the bare stem hasn't; and whether two, or
-    three and more, different words go on from a stem (``stem+2``, ``stem+3``)."""
-    stems = Counter(s for w in words for s in stems_of(w))
-    out = {w + "$" for w in words}
-    for s, n in stems.items():
-        out.add(s + "+")
-        if n > 1:
-            out.add(s + "+2")
-            if n > 2:
-                out.add(s + "+3")
-    return out
-
-
 def word_counts(text: str) -> Counter:
     return Counter(_LETTERS.findall(text.lower()))
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    total = np.cumsum(size)
+    return np.arange(total[-1] if len(total) else 0) + np.repeat(start - (total - size), size)
+
+
 @dataclass
-class Index:
-    """Distinct example vectors with the class weights of the documents that have them.
+class Relevance:
+    """How the label's share differs with a feature: ``a`` and ``b`` of the ``n1`` toxic and ``n0`` clean
+    examples have it; ``pi`` is the share of toxic documents among all labelled ones."""
+
+    a: np.ndarray
+    b: np.ndarray
+    n1: float
+    n0: float
+    pi: float
+
+    def chi2(self) -> np.ndarray:
+        a, b, n1, n0 = self.a, self.b, self.n1, self.n0
+        return (n1 + n0) * (a * (n0 - b) - b * (n1 - a)) ** 2 / (n1 * n0 * (a + b) * (n1 - a + n0 - b) + 1e-9)
+
+    def weights(self) -> np.ndarray:
+        """Inverse document frequency times correlation, at the classes' true sizes."""
+        p1, p0 = self.a / max(1, self.n1), self.b / max(1, self.n0)
+        p = self.pi * p1 + (1 - self.pi) * p0
+        phi = math.sqrt(self.pi * (1 - self.pi)) * np.abs(p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-12))
+        return (1 - np.log(np.maximum(p, 1e-12))) * phi
 
-    ``vectors`` are of length 1, sorted so that like ones share blocks; ``weights`` has
-    them by feature, block and place, ``bounds`` each feature's greatest weight in a block.
-    Both are bounded by the sample: at most ``features`` by 2 * ``docs`` numbers.
-    """
 
-    idf: dict[str, float]
-    vectors: list[dict[str, float]]
-    toxic: np.ndarray
-    clean: np.ndarray
+@dataclass
+class Index:
+    """Examples as postings. Feature f's entries (one a block) are ``first[f]`` to ``first[f + 1]``; entry e
+    stands for block ``block_of[e]``, whose greatest weight of f is ``most[e]``, and owns the postings
+    ``start[e]`` to ``start[e + 1]``: an example's place and its weight. All is bounded by
+    the sample. ``share`` is how many of an example's documents are toxic; equal texts are one example."""
+
+    words: dict[str, int]
+    stems: dict[str, int]
+    weight: np.ndarray
+    first: np.ndarray
+    block_of: np.ndarray
+    most: np.ndarray
+    start: np.ndarray
+    place: np.ndarray
+    value: np.ndarray
+    share: np.ndarray
     ids: list[int]
     base: float
     empty: float
+    slope: float = 1.0
+    shift: float = 0.0
     params: ToxicityParams = field(default_factory=ToxicityParams)
-
-    def __post_init__(self) -> None:
-        order = sorted(range(len(self.vectors)), key=lambda i: sorted(self.vectors[i].items(), key=lambda x: (-x[1], x[0])))
-        self.vectors = [self.vectors[i] for i in order]
-        self.toxic, self.clean, self.ids = self.toxic[order], self.clean[order], [self.ids[i] for i in order]
-        size = self.params.block
-        self.n_blocks = -(-len(self.vectors) // size)
-        self.row = {f: i for i, f in enumerate(sorted(set().union(*self.vectors)))}
-        # postings by feature, cut into blocks of examples, and each block's greatest weight
-        self.weights = np.zeros((len(self.row), self.n_blocks, size), np.float32)
-        for i, v in enumerate(self.vectors):
-            for f, w in v.items():
-                self.weights[self.row[f], i // size, i % size] = w
-        self.bounds = self.weights.max(2) if self.n_blocks else np.zeros((len(self.row), 0), np.float32)
-        self._stems = {f[: f.index("+")] for f in self.idf if "+" in f}
-        self._word: dict[str, tuple[str, ...]] = {}
-        self._seen: dict[tuple, tuple] = {}
-
-    def vector(self, counts: Counter) -> dict[str, float]:
-        """The text's TF-IDF vector of length 1; empty if it has no feature."""
-        known = self._word
-        if len(known) > CACHE:
-            known.clear()
-        for w in counts:
-            if w in known:
-                continue
-            known[w] = tuple(s for s in stems_of(w) if s in self._stems) + ((w + "$",) if w + "$" in self.idf else ())
-        tf: Counter = Counter()
-        words: Counter = Counter()
+    _known: Memo = field(default_factory=lambda: Memo(CACHE_BYTES))
+
+    @classmethod
+    def build(cls, rows: list[tuple[int, int, dict[str, int]]], sizes: dict[int, int], params: ToxicityParams = ToxicityParams()) -> Index:
+        """``rows``: an example's id, label and word counts; ``sizes``: the labelled documents of each class."""
+        total = sum(sizes.values())
+        pi = (sizes.get(1, 0) + 0.5) / (total + 1)
+        groups: dict[frozenset, list] = {}
+        for doc_id, toxic, counts in sorted(rows, key=lambda r: r[0]):
+            groups.setdefault(frozenset(counts.items()), [counts, doc_id, 0, 0])[3 - toxic] += 1
+        scale = {1: sizes.get(1, 0) / max(1, sum(t for _, t, _ in rows)), 0: sizes.get(0, 0) / max(1, sum(1 - t for _, t, _ in rows))}
+        bare = groups.pop(frozenset(), [{}, 0, 0, 0])
+        bare = bare[2] * scale[1], bare[3] * scale[0]
+        empty = (bare[0] + pi) / (sum(bare) + 1)
+        examples = list(groups.values())
+        yes, no = np.array([e[2] for e in examples], float), np.array([e[3] for e in examples], float)
+        n1, n0 = yes.sum(), no.sum()
+        if not n1 or not n0:
+            none, zero = np.zeros(0), np.zeros(0, np.int64)
+            return cls({}, {}, none, np.zeros(1, np.int64), zero, none, np.zeros(1, np.int64), zero, none, none, [], pi, pi, params=params)
+
+        words = {w: i for i, w in enumerate(sorted(set().union(*(e[0] for e in examples))))}
+        names = sorted({s for w in words for s in stems_of(w)})
+        number = {s: len(words) + i for i, s in enumerate(names)}
+        below = [[i, *(number[s] for s in stems_of(w))] for w, i in words.items()]
+        wide = np.array([len(x) for x in below])
+        flat, at = np.array([f for x in below for f in x]), np.concatenate([[0], np.cumsum(wide)])
+        # (example, feature, count) of all words and beginnings
+        word = np.array([words[w] for e in examples for w in e[0]])
+        count = np.array([n for e in examples for n in e[0].values()], float)
+        doc = np.repeat(np.arange(len(examples)), [len(e[0]) for e in examples])
+        doc, count, feature = np.repeat(doc, wide[word]), np.repeat(count, wide[word]), flat[_ranges(at[word], wide[word])]
+        n_all = len(words) + len(names)
+        pair, inverse = np.unique(doc * n_all + feature, return_inverse=True)
+        doc, feature, count = pair // n_all, pair % n_all, np.bincount(inverse, count)
+        found = Relevance(np.bincount(feature, yes[doc], n_all), np.bincount(feature, no[doc], n_all), n1, n0, pi)
+        keep = np.arange(n_all) < len(words)
+        keep |= found.chi2() >= params.chi2
+        to = np.cumsum(keep) - 1
+        ok = keep[feature]
+        doc, feature, tf = doc[ok], to[feature[ok]], 1 + np.log(count[ok])
+        found = Relevance(found.a[keep], found.b[keep], n1, n0, pi)
+        weight = found.weights()
+        stems = {s: int(to[i]) for s, i in number.items() if keep[i]}
+
+        # like examples share blocks: in order of their strongest features
+        x = tf * weight[feature]
+        order = np.lexsort((feature, -x, doc))
+        lead = order[np.searchsorted(doc[order], np.arange(len(examples)))]
+        placed = np.lexsort((np.arange(len(examples)), -x[lead], feature[lead]))
+        place_of = np.empty(len(examples), np.int64)
+        place_of[placed] = np.arange(len(examples))
+        norm = np.sqrt(np.bincount(doc, x * x, len(examples)))
+        index = cls._of_postings(words, stems, weight, feature, place_of[doc], x / np.maximum(norm[doc], 1e-12), params)
+        index.share, index.ids, index.base, index.empty = (yes / (yes + no))[placed], [examples[i][1] for i in placed], n1 / (n1 + n0), empty
+        index._calibrate(found, [(place_of[i], examples[i][0], examples[i][2], examples[i][3]) for i in range(len(examples))], sizes)
+        return index
+
+    @classmethod
+    def _of_postings(cls, words: dict, stems: dict, weight: np.ndarray, feature: np.ndarray, place: np.ndarray, value: np.ndarray, params: ToxicityParams) -> Index:
+        order = np.lexsort((place, feature))
+        feature, place, value = feature[order], place[order].astype(np.int32), value[order].astype(np.float32)
+        block = place // params.block
+        new = np.ones(len(place), bool)
+        new[1:] = (feature[1:] != feature[:-1]) | (block[1:] != block[:-1])
+        at = np.flatnonzero(new)
+        most = np.maximum.reduceat(value, at) if len(at) else value
+        first = np.searchsorted(feature[at], np.arange(len(weight) + 1))
+        return cls(words, stems, weight, first, block[at], most, np.append(at, len(place)), place, value, np.zeros(0), [], 0.5, 0.5, params=params)
+
+    def features(self, counts: dict[str, int], weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The text's features and their weights, a vector of length 1 (or no feature)."""
+        known, ids, tf = self._known, [], []
+        known.trim()
         for w, n in counts.items():
-            for f in known[w]:
-                if f[-1] == "$":
-                    tf[f] = n
-                else:
-                    tf[f + "+"] += n
-                    words[f] += 1
-        for stem, n in words.items():
-            for f in (stem + "+2", stem + "+3")[: min(n, 3) - 1]:
-                tf[f] = 1
-        tf = Counter({f: n for f, n in tf.items() if f in self.idf})
-        raw = {f: (1 + math.log(n)) * self.idf[f] for f, n in tf.items()}
-        norm = math.sqrt(sum(x * x for x in raw.values()))
-        return {f: x / norm for f, x in raw.items()}
-
-    def nearest(self, query: dict[str, float], k: int | None = None) -> list[tuple[float, int]]:
-        """The k examples of greatest cosine above 0, and all that tie with the last."""
-        k = k or self.params.k
-        at = [(self.row[f], w) for f, w in query.items() if f in self.row]
-        if not at:
-            return []
-        rows, weight = np.array([r for r, _ in at]), np.array([w for _, w in at], np.float32)
-        limit = weight @ self.bounds[rows]
-        order = np.argsort(-limit, kind="stable")
-        order = order[limit[order] > 0]
-        first = order[:8]
-        score, place = self._score(rows, weight, first)
-        if len(order) > 8:
-            least = np.partition(score, -k)[-k] if len(score) >= k else 0.0
-            rest = order[8:][limit[order[8:]] >= least - 1e-5]  # no other block can hold a nearer one
-            if len(rest):
-                more, there = self._score(rows, weight, rest)
-                score, place = np.concatenate([score, more]), np.concatenate([place, there])
-        if len(score) > k:
-            near = score >= np.partition(score, -k)[-k] - 1e-6
-            score, place = score[near], place[near]
+            own = known.get(w)
+            if own is None:
+                own = tuple(self.stems[s] for s in stems_of(w) if s in self.stems)
+                if w in self.words:
+                    own += (self.words[w],)
+                known[w] = own
+                known.charge(len(w) + 170 + 8 * len(own))
+            if own:
+                ids += own
+                tf += [n] * len(own)
+        if not ids:
+            return np.zeros(0, np.int64), np.zeros(0)
+        feature, inverse = np.unique(np.array(ids), return_inverse=True)
+        x = (1 + np.log(np.bincount(inverse, tf))) * (self.weight if weight is None else weight)[feature]
+        norm = math.sqrt(x @ x)
+        return (feature, x / norm) if norm > 1e-9 else (np.zeros(0, np.int64), np.zeros(0))
+
+    def nearest(self, feature: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines and places of the k nearest examples, and of all that tie with the last."""
+        k, size, none = self.params.k, len(self.share), (np.zeros(0), np.zeros(0, np.int64))
+        n = self.first[feature + 1] - self.first[feature] if len(feature) else np.zeros(0, np.int64)
+        entry = _ranges(self.first[feature], n) if n.sum() else np.zeros(0, np.int64)
+        if not len(entry):
+            return none
+        own = np.repeat(weight, n)
+        block = self.block_of[entry]
+        bound = np.bincount(block, own * self.most[entry])
+        order = np.argsort(-bound, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        scores, places, low, step, least = [], [], 0, 4, 0.0
+        while low < len(order):
+            # no block from here on can hold a nearer one
+            high = min(low + step, int(np.searchsorted(-bound[order], 1e-6 - max(least, 1e-5))))
+            if high <= low:
+                break
+            mine = np.flatnonzero((rank[block] >= low) & (rank[block] < high))
+            e = entry[mine]
+            sizes = self.start[e + 1] - self.start[e]
+            at = _ranges(self.start[e], sizes)
+            found = np.bincount(self.place[at], np.repeat(own[mine], sizes) * self.value[at], size)
+            hit = np.flatnonzero(found > 0)
+            scores.append(found[hit])
+            places.append(hit)
+            low, step = high, step * 2
+            seen = np.concatenate(scores)
+            least = np.partition(seen, -k)[-k] if len(seen) >= k else 0.0
+        if not scores:
+            return none
+        score, place = np.concatenate(scores), np.concatenate(places)
+        near = score >= least - 1e-6
+        score, place = score[near], place[near]
         by = np.lexsort((place, -score))
-        return list(zip(score[by].astype(float).tolist(), place[by].tolist(), strict=True))
-
-    def _score(self, rows: np.ndarray, weight: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines above 0 within some blocks, and whose they are."""
-        found = np.tensordot(weight, self.weights[np.ix_(rows, blocks)], 1)
-        b, i = np.nonzero(found > 0)
-        return found[b, i], blocks[b] * self.params.block + i
-
-    def score(self, counts: Counter) -> tuple[float, list[int]]:
+        return score[by], place[by]
+
+    def vote(self, cosine: np.ndarray, place: np.ndarray) -> float:
+        """Share of toxic neighbours by a weight that falls with distance."""
+        near = np.minimum(cosine, 1) ** 2
+        w = near / np.maximum(0.1, 1.1 - near)
+        return float((w @ self.share[place] + self.params.prior * self.base) / (w.sum() + self.params.prior))
+
+    def _calibrate(self, found: Relevance, examples: list[tuple], sizes: dict[int, int]) -> None:
+        """Fit the logistic map from votes to probabilities on examples that the others judge:
+        an example is no neighbour of its own, and its label counts in no weight of its vector."""
+        less = {1: Relevance(np.maximum(found.a - 1, 0), found.b, found.n1 - 1, found.n0, found.pi).weights(), 0: Relevance(found.a, np.maximum(found.b - 1, 0), found.n1, found.n0 - 1, found.pi).weights()}
+        x, y, w = [], [], []
+        for toxic in (1, 0):
+            own = [(p, c, e[1 - toxic]) for p, c, *e in examples if e[1 - toxic]][: self.params.calibrate]
+            used = sum(n for _, _, n in own)
+            for p, counts, n in own:
+                q, v = self.features(counts, less[toxic])
+                cosine, place = self.nearest(q, v)
+                others = place != p
+                s = self.vote(cosine[others], place[others])
+                x.append(math.log(s / (1 - s)))
+                y.append(toxic)
+                w.append(n * sizes.get(toxic, 0) / used)
+        x, y, w = np.array(x), np.array(y, float), np.array(w)
+        if y.sum() < 20 or len(y) - y.sum() < 20:  # too few: only the classes' sizes are put right
+            true = found.pi / (1 - found.pi)
+            self.slope, self.shift = 1.0, math.log(true / (self.base / (1 - self.base)))
+            return
+        w *= len(w) / w.sum()
+        soft = np.where(y == 1, 1 - 1 / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+        beta = np.array([1.0, 0.0])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(beta[0] * x + beta[1], -30, 30)))
+            g = np.array([(w * (p - soft)) @ x, (w * (p - soft)).sum()]) + 0.1 * (beta - [1.0, 0.0])
+            h = w * p * (1 - p)
+            step = np.linalg.solve(np.array([[h @ (x * x), h @ x], [h @ x, h.sum()]]) + 0.1 * np.eye(2), g)
+            beta -= np.clip(step, -1, 1)
+            if np.abs(step).max() < 1e-9:
+                break
+        self.slope, self.shift = max(0.05, float(beta[0])), float(beta[1])
+
+    def score(self, counts: dict[str, int]) -> tuple[float, list[int]]:
         """Probability of the toxic label, and the documents of the nearest examples."""
-        query = self.vector(counts)
-        if not query:
+        if not len(self.share):
+            return self.empty, []
+        cosine, place = self.nearest(*self.features(counts))
+        if not len(place):
             return self.empty, []
-        key = tuple(sorted((f, round(w, 12)) for f, w in query.items()))
-        if key not in self._seen:
-            if len(self._seen) > CACHE // 10:
-                self._seen.clear()
-            yes, no, near = self.params.prior * self.base, self.params.prior * (1 - self.base), []
-            for cosine, i in self.nearest(query):
-                weight = cosine * cosine / max(0.1, 1.1 - cosine * cosine)
-                share = self.toxic[i] / (self.toxic[i] + self.clean[i])
-                yes, no = yes + weight * share, no + weight * (1 - share)
-                near.append(self.ids[i])
-            self._seen[key] = (yes / (yes + no), near[:5])
-        return self._seen[key]
+        s = self.vote(cosine, place)
+        return 1 / (1 + math.exp(-min(30.0, max(-30.0, self.slope * math.log(s / (1 - s)) + self.shift)))), [self.ids[i] for i in place[:5]]
 
 
 def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> Index:
-    """``docs(doc_id, text)`` and ``labels(doc_id, toxic)`` -> the index. The class sizes are
-    counted over all labelled rows; features and examples come from a bounded sample of
-    each class, weighted back to those sizes. Labels are joined to ids alone, and the ids
-    of the sample are few enough to go to every task: no text is shuffled. Without
-    rows of both classes every score is the base rate."""
-    there = docs.select("doc_id", F.col("text").isNotNull().alias("there")).where("there and doc_id is not null").select("doc_id")
-    marked = there.join(labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("long").alias("toxic")), "doc_id")
+    """``docs(doc_id, text)`` and ``labels(doc_id, toxic)`` -> the index.
+
+    The class sizes are counted over all labelled documents; examples are a bounded sample of
+    each class. Labels are joined to ids alone, and the ids of the sample are few
+    enough to go to every task: no text but the sample's is shuffled. A doc_id that several rows of ``docs`` have is
+    one document, with the least text of them; one with labels that contradict each other, a null
+    id, text or label teaches nothing. Without documents of both classes every score is the base rate."""
+    spark = docs.sparkSession
+    there = docs.where("text is not null and doc_id is not null").select("doc_id")
+    marks = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").cast("long").alias("toxic"), F.max("toxic").cast("long").alias("most")).where("toxic = most").drop("most")
+    marked, marked_at = materialize(marks.join(there, "doc_id", "left_semi"), "labelled")
     sizes = {int(t): n for t, n in marked.groupBy("toxic").count().collect()}
-    total = sum(sizes.values())
-    base = (sizes.get(1, 0) + 0.5) / (total + 1)
-    nothing = Index({}, [], np.zeros(0), np.zeros(0), [], base, base, params)
     if len(sizes) < 2:
-        return nothing
-    ranked = marked.select("doc_id", "toxic", F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("rank"))
-    chosen, chosen_at = materialize(ranked.where(F.col("rank") <= params.docs).select("doc_id", "toxic"), "labelled")
+        discard(spark, marked_at)
+        return Index.build([], sizes, params)
+    chosen = None
+    for toxic, n in sorted(sizes.items()):
+        # a little over the sample's share by hash, of which the least are the sample: little is sorted
+        share = min(1.0, (1.2 * params.docs + 100) / n)
+        h = F.xxhash64("doc_id")
+        part = marked.where((F.col("toxic") == toxic) & (F.pmod(h, F.lit(1 << 30)) <= int(share * (1 << 30)))).orderBy(F.pmod(h, F.lit(1 << 30)), h, "doc_id").limit(params.docs)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    chosen, chosen_at = materialize(chosen, "examples")
     sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # at most 2 * docs ids
-    out = pa.schema([("feature", pa.string()), ("toxic", pa.int64()), ("n", pa.int64())])
+    sample = sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    out = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int64()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-        for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = _LETTERS.findall(text.lower())
-                found.update((f, toxic) for f in features_of(set(words)))
-                found["", toxic] += 1
-                if len(found) > 50_000:
-                    yield flush(found)
-        yield flush(found)
-
-    def flush(found: Counter) -> pa.RecordBatch:
-        rows = list(found.items())
-        found.clear()
-        return batch_of(out, feature=[f for (f, _), _ in rows], toxic=[t for (_, t), _ in rows], n=[n for _, n in rows])
-
-    counted = sample.select("text", "toxic").mapInArrow(count, "feature string, toxic long, n long")
-    by = counted.groupBy("feature").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
-    by, at = materialize(by, "features")
-    n = by.where("feature = ''").select("a", "b").head()
-    n1, n0 = int(n[0]), int(n[1])
-    c, d = F.lit(n1) - F.col("a"), F.lit(n0) - F.col("b")
-    chi2 = (F.lit(n1 + n0) * F.pow(F.col("a") * d - F.col("b") * c, F.lit(2))) / (F.lit(float(n1)) * F.lit(float(n0)) * (F.col("a") + F.col("b")) * (c + d) + 1e-9)
-    best = (
-        by.where(f"feature <> '' and a >= {params.least} and a * {n0} > 4 * b * {n1}").withColumn("chi2", chi2)
-        .where(F.col("chi2") >= params.chi2).orderBy(F.desc("chi2"), "feature").limit(params.features).select("feature", "a", "b").collect()
-    )
-    idf = {f: 1 + math.log((n1 + n0) / (a + b)) for f, a, b in best}
-    index = Index(idf, [], np.zeros(0), np.zeros(0), [], base, base, params)
-    rows_out = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int64()), ("features", pa.list_(pa.string())), ("weights", pa.list_(pa.float64()))])
-
-    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v = [index.vector(word_counts(t)) for t in batch.column(1).to_pylist()]
-            yield batch_of(rows_out, doc_id=batch.column(0), toxic=batch.column(2), features=[list(x) for x in v], weights=[list(x.values()) for x in v])
-
-    rows = sample.select("doc_id", "text", "toxic").mapInArrow(embed, "doc_id long, toxic long, features array<string>, weights array<double>").collect()
-    weight = {0: sizes[0] / n0, 1: sizes[1] / n1}
-    grouped: dict[tuple, list] = {}
-    empty = [1.0, 1.0]
-    for doc_id, toxic, names, weights in sorted(map(tuple, rows)):
-        if not names:
-            empty[toxic] += weight[toxic]
-            continue
-        key = tuple(sorted((f, round(w, 9)) for f, w in zip(names, weights, strict=True)))
-        entry = grouped.setdefault(key, [0.0, 0.0, doc_id])
-        entry[toxic] += weight[toxic]
-    discard(sample.sparkSession, at, chosen_at)
-    return Index(idf, [dict(k) for k in grouped], np.array([e[1] for e in grouped.values()]), np.array([e[0] for e in grouped.values()]), [e[2] for e in grouped.values()], base, empty[1] / sum(empty), params)
+        for whole in batches:
+            for part in slices(whole, 2):
+                found = [word_counts(t) for t in part.column(2).to_pylist()]
+                yield batch_of(out, doc_id=part.column(0), toxic=part.column(1), words=[list(c) for c in found], counts=[list(c.values()) for c in found])
+
+    rows = in_arrow(sample.select("doc_id", "toxic", "text"), count, "doc_id long, toxic long, words array<string>, counts array<long>").toLocalIterator()
+    index = Index.build([(i, t, dict(zip(w, n, strict=True))) for i, t, w, n in rows], sizes, params)
+    discard(spark, marked_at, chosen_at)
+    return index
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32()), ("evidence", pa.list_(pa.int64()))])
@@ -256,7 +336,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``doc_id, score, predicted, evidence`` for every row:
     ``evidence`` lists the labelled documents nearest to it. Whole texts are read in one
     narrow pass. Texts without a feature (null and empty ones among them) score as
-    such labelled ones do; other columns aren't read."""
+    such labelled ones do; rows keep their multiplicity, a null doc_id stays null, other columns aren't read."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +345,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
                 found = [shared.value.score(word_counts(t or "")) for t in part.column(1).to_pylist()]
                 yield batch_of(_SCORED, doc_id=part.column(0), score=[s for s, _ in found], predicted=[int(s >= 0.5) for s, _ in found], evidence=[e for _, e in found])
 
-    return text_column(docs, "doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int, evidence array<long>")
+    return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, score double, predicted int, evidence array<long>")
 
 
 def keep_clean(docs: DataFrame, index: Index) -> DataFrame:
@@ -281,4 +361,4 @@ def keep_clean(docs: DataFrame, index: Index) -> DataFrame:
                 clean = [shared.value.score(word_counts(t or ""))[0] < 0.5 for t in part.column(at).to_pylist()]
                 yield part.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return in_arrow(docs, run, schema)
