@@ -16,29 +16,33 @@ what they are, are taken out of each page; the blocks that are left are the text
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import batch_of, discard, materialize, slices
+from folioforge.llm.common import batch_of, discard, in_arrow, materialize, slices
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: An end tag or a start tag that the page's end cuts off swallows the rest, as in browsers.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: What never is main text, by tag and by words in class, id or role.
 FURNITURE = frozenset("head script style title noscript template iframe textarea nav footer header aside form button select input label dialog menu svg object embed canvas audio video xmp".split())
-_FURNITURE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|side-?bar|foot(?:er)?|header|masthead|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|sharing|social|related|comments?|respond|replies|disqus|widget|pagination|pager|toolbar|login|signup)(?:$|[\s_-])",
-    re.I,
-)
+_ANYWHERE = r"ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|side-?bar|foot(?:er)?|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|sharing|related|comments?|respond|replies|disqus|widget|pagination|pager|toolbar|login|signup"
+_NAMED = re.compile(rf"(?:^|[\s_-])(?:{_ANYWHERE}|header|masthead|social)(?:$|[\s_-])", re.I)
+_NAMED_IN_ARTICLE = re.compile(rf"(?:^|[\s_-])(?:{_ANYWHERE})(?:$|[\s_-])", re.I)
 _IN_ARTICLE = frozenset(("article", "main"))
+#: Names say nothing of these within an article: they are its text.
+_TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre li td th tr dt dd figcaption em strong b i a span code".split())
 #: A <p> ends before these.
 _ENDS_P = BLOCKS
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -48,64 +52,87 @@ _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 @dataclass(frozen=True)
 class StyleParams:
     """A content that at least ``pages`` distinct pages of its host have at one node is judged by
-    its information, in [0, 1]; below ``least`` the branches with it go."""
+    its information, in [0, 1]; below ``least`` the branches with it go. Up to ``shared`` such
+    contents (8 bytes each) go to every task; more are joined to pages by shuffle."""
 
     pages: int = 8
     least: float = 0.2
+    shared: int = 2_000_000
 
 
 class Node:
-    __slots__ = ("tag", "key", "name", "parent", "children", "article", "size", "holds")
+    """``key``: the path of tags and names; ``shape``: the kinds of its children; ``content``: path,
+    shapes and texts of the whole branch; all as hashes that the host is part of."""
 
-    def __init__(self, tag: str, key: str, name: str, parent: Node | None) -> None:
+    __slots__ = ("tag", "key", "name", "parent", "children", "article", "size", "holds", "shape", "content")
+
+    def __init__(self, tag: str, key: int, name: str, parent: Node | None) -> None:
         self.tag, self.key, self.name, self.parent = tag, key, name, parent
         self.children: list[Node | str] = []
         self.article = tag in _IN_ARTICLE or (parent is not None and parent.article)
-        self.size, self.holds = 0, False
+        self.size, self.holds, self.shape, self.content = 0, False, 0, 0
 
 
-def parse(html: str) -> Node:
-    """A tree of elements and texts; any input gives one. Texts stay encoded. ``p``, list
-    and table items end where the next begins; an end tag without a start is nothing."""
-    root = Node("", "", "", None)
+def parse(html: str, host: str = "") -> Node:
+    """A tree of elements and texts; any input gives one, in time about proportional to its
+    length. References are decoded text by text. ``p``, list and table items end where the next
+    begins; an end tag without a start is nothing."""
+    root = Node("", hash64(host), "", None)
     at, now, size = 0, root, len(html)
+    opened: Counter = Counter()
+
+    def leave(to: Node) -> None:
+        nonlocal now
+        while now is not to:
+            opened[now.tag] -= 1
+            now = now.parent
+
+    def add(text: str) -> None:
+        now.children.append(unescape(text) if "&" in text else text)
+
     while at < size:
         m = _TOKEN.search(html, at)
         if m is None:
-            now.children.append(html[at:])
+            add(html[at:])
             break
         if m.start() > at:
-            now.children.append(html[at : m.start()])
+            add(html[at : m.start()])
         at = m.end()
         tag = m[2]
         if tag is None:
             continue
         tag = tag.lower()
         if m[1]:
-            n = now
-            while n is not root and n.tag != tag:
-                n = n.parent
-            if n is not root:
-                now = n.parent
+            if opened[tag]:
+                n = now
+                while n.tag != tag:
+                    n = n.parent
+                leave(n.parent)
             continue
-        if tag in BLOCKS and tag not in ("html", "body"):
+        if tag in _ENDS_P and opened["p"] and tag not in ("html", "body"):
             n = now
             while n is not root and n.tag not in ("article", "div", "section", "td", "th", "li", "body", "main", "table", "blockquote", "aside", "nav", "form", "button"):
                 if n.tag == "p":
-                    now = n.parent
+                    leave(n.parent)
                     break
                 n = n.parent
-        if tag in _SAME:
-            n = now
+        if tag in _SAME and any(opened[t] for t in _SAME[tag]):
+            n, last = now, None
             while n is not root and n.tag not in ("ul", "ol", "dl", "table", "select", "menu", "tbody", "thead", "tfoot"):
                 if n.tag in _SAME[tag]:
-                    now = n.parent
+                    last = n
                 n = n.parent
+            if last is not None:
+                leave(last.parent)
         name = ""
         if m[3] and "=" in m[3]:
             name = " ".join(v or w or x for k, v, w, x in _ATTRIBUTE.findall(m[3]) if k.lower() in ("class", "id", "role"))
-        node = Node(tag, f"{now.key}/{tag}.{name}" if name else f"{now.key}/{tag}", name, now)
+        node = Node(tag, hash64(f"{now.key}/{tag}.{name}"), name, now)
         now.children.append(node)
+        if tag in _IN_ARTICLE:
+            n = node
+            while n is not None and not n.holds:
+                n.holds, n = True, n.parent
         if tag in _RAW:
             end = _RAW[tag].search(html, at)
             stop = end.start() if end else size
@@ -113,93 +140,105 @@ def parse(html: str) -> Node:
                 node.children.append(html[at:stop])
             at = end.end() if end else size
         elif tag not in VOID and not m[3].endswith("/"):
+            opened[tag] += 1
             now = node
+    measure(root)
     return root
 
 
-def is_furniture(node: Node) -> bool:
-    """By what the element says of itself. Within an article only what can't be its text."""
-    if node.tag in ("html", "body", "article", "main", ""):
-        return False
-    if node.tag in FURNITURE and not (node.article and node.tag in ("header", "label")):
-        return True
-    return bool(node.name) and bool(_FURNITURE_NAME.search(node.name))
-
-
-def _text_of(node: Node) -> str:
-    parts: list[str] = []
-    stack: list[Node | str] = [node]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str):
-            parts.append(x)
-        else:
-            stack += reversed(x.children)
-    return _SPACE.sub(" ", " ".join(parts)).strip()
-
-
-def weigh(root: Node) -> None:
-    """Of each element that isn't in furniture: ``size``, the characters of text below it, and
-    ``holds``, whether it is or has an article."""
+def measure(root: Node) -> None:
+    """From the leaves up: of each element the characters of text below it (``size``), and the
+    hashes of its shape and content."""
     order = [root]
     for n in order:
-        n.holds = n.tag in _IN_ARTICLE
-        n.size = sum(len(c.strip()) for c in n.children if isinstance(c, str))
-        order += [c for c in n.children if isinstance(c, Node) and not is_furniture(c)]
+        order += [c for c in n.children if isinstance(c, Node)]
     for n in reversed(order):
-        if n.parent is not None:
-            n.parent.size += n.size
-            n.parent.holds |= n.holds
+        shape, parts = [], []
+        for c in n.children:
+            if isinstance(c, Node):
+                shape.append(c.tag)
+                parts.append(str(c.content))
+                n.size += c.size
+            else:
+                shape.append("#")
+                if text := _SPACE.sub(" ", c).strip():
+                    parts.append("#" + text)
+                    n.size += len(text)
+        n.shape = hash64(",".join(shape))
+        n.content = hash64(f"{n.key}\0{n.shape}\0" + "\0".join(parts))
+
+
+def is_furniture(node: Node, root: Node) -> bool:
+    """By what the element says of itself. An element that holds an article is none by its
+    name, nor is one that has most of the text of a page without an article. Within an
+    article only what can't be its text is furniture."""
+    if node.tag in ("html", "body", "article", "main", ""):
+        return False
+    if node.tag in FURNITURE and not (node.article and node.tag in ("header", "label")) and not (node.holds and node.tag in ("form", "label")):
+        return True
+    if not node.name or node.holds or node.article and node.tag in _TEXTUAL:
+        return False
+    if not root.holds and 2 * node.size > root.size:
+        return False
+    return bool((_NAMED_IN_ARTICLE if node.article else _NAMED).search(node.name))
 
 
 def is_main(node: Node, root: Node) -> bool:
-    """What is never cut as a whole, whatever its importance: the root nodes, and a weighed
-    node that has an article or most of the page's text below it."""
+    """What is never cut as a whole, whatever its importance: the root nodes, and a node that
+    has an article or most of the page's text below it."""
     return node.tag in ("html", "body", "") or node.holds or 2 * node.size > root.size
 
 
-def content_of(node: Node) -> tuple[int, int]:
-    """Hashes of the element's presentation, and of its style node with that and its text."""
-    shape = ",".join(c.tag if isinstance(c, Node) else "#" for c in node.children)
-    return hash64(shape), hash64(f"{node.key}\0{shape}\0{_text_of(node)}")
-
-
 def judged(node: Node) -> bool:
     """All elements but the root nodes and articles themselves; within articles only blocks."""
     return node.tag not in ("html", "body", "", *_IN_ARTICLE) and (not node.article or node.tag in BLOCKS)
 
 
-def observe(html: str) -> tuple[int, list[tuple[int, int, int, bool]]]:
+def seen_of(root: Node) -> Iterator[Node]:
+    """The root and all elements that aren't furniture by themselves."""
+    stack = [root]
+    while stack:
+        n = stack.pop()
+        yield n
+        stack += [c for c in n.children if isinstance(c, Node) and not is_furniture(c, root)]
+
+
+def observe(html: str, host: str = "") -> tuple[int, list[tuple[int, int, int, bool]]]:
     """A hash of the page's text, and (hashes of the node key, its presentation, its content;
     whether it is in an article) for each element of the page that isn't furniture by
     itself; equal ones once."""
-    out, texts = {}, []
-    stack = [parse(html)]
-    while stack:
-        n = stack.pop()
+    out, texts = {}, [host]
+    root = parse(html, host)
+    for n in seen_of(root):
         texts += [c for c in n.children if isinstance(c, str)]
         if judged(n):
-            out[(hash64(n.key), *content_of(n), n.article)] = None
-        stack += [c for c in n.children if isinstance(c, Node) and not is_furniture(c)]
+            out[(n.key, n.shape, n.content, n.article)] = None
     return hash64("\n".join(texts)), list(out)
 
 
 def hash64(s: str) -> int:
-    return xxhash.xxh64_intdigest(s) - (1 << 63)
+    return xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def blocks_of(html: str, low: np.ndarray, host: str = "") -> str:
+    """The page's text without furniture and the branches with a content in ``low`` (sorted):
+    blocks joined by newlines. A page that would lose all of its text keeps those branches."""
+    root = parse(html, host)
+    cut: set[int] = set()
+    if len(low):
+        own = np.array([n.content for n in seen_of(root) if judged(n) and not is_main(n, root)], np.int64)
+        at = np.minimum(np.searchsorted(low, own), len(low) - 1)
+        cut = set(own[low[at] == own].tolist())
+    return _blocks(root, cut) or (_blocks(root, set()) if cut else "")
 
 
-def blocks_of(html: str, low: frozenset[int]) -> str:
-    """The page's text without furniture and the branches with a content in ``low``: blocks
-    joined by newlines. A page that would lose all of its text keeps those branches."""
-    root = parse(html)
-    if low:
-        weigh(root)
+def _blocks(root: Node, cut: set[int]) -> str:
     out: list[str] = []
     inline: list[str] = []
 
     def close() -> None:
         if inline:
-            text = _SPACE.sub(" ", unescape("".join(inline)).replace("\xa0", " ")).strip()
+            text = _SPACE.sub(" ", "".join(inline).replace("\xa0", " ")).strip()
             if text:
                 out.append(text)
             inline.clear()
@@ -211,7 +250,7 @@ def blocks_of(html: str, low: frozenset[int]) -> str:
             inline.append(n)
         elif kind:
             close()
-        elif is_furniture(n) or low and judged(n) and not is_main(n, root) and content_of(n)[1] in low:
+        elif is_furniture(n, root) or n.content in cut and judged(n) and not is_main(n, root):
             if n.tag in BLOCKS:
                 close()
             continue
@@ -223,39 +262,41 @@ def blocks_of(html: str, low: frozenset[int]) -> str:
                 stack.append((1, n))
             stack += [(0, c) for c in reversed(n.children)]
     close()
-    return blocks_of(html, frozenset()) if low and not out else "\n".join(out)
+    return "\n".join(out)
 
 
 def importance(nodes: DataFrame) -> DataFrame:
-    """``(host, node, shape, content)`` -> ``pages`` and ``importance`` of each style node: the
+    """``(node, shape, content)`` -> ``pages`` and ``importance`` of each style node: the
     greater of the normalised entropies of its presentations and of its contents
     (0: the same everywhere; 1: another one on every page). Counts are aggregated by
     value first and then by node, so a host with a third of all pages is as many
     partial sums as it has distinct values, not one task's rows."""
 
     def entropy(column: str) -> DataFrame:
-        n = nodes.groupBy("host", "node", column).agg(F.count(F.lit(1)).alias("c"))
-        return n.groupBy("host", "node").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log(F.col("c").cast("double"))).alias("s")).select(
-            "host", "node", "m", F.when(F.col("m") > 1, (F.log(F.col("m").cast("double")) - F.col("s") / F.col("m")) / F.log(F.col("m").cast("double"))).otherwise(1.0).alias("e")
+        n = nodes.groupBy("node", column).agg(F.count(F.lit(1)).alias("c"))
+        return n.groupBy("node").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log(F.col("c").cast("double"))).alias("s")).select(
+            "node", "m", F.when(F.col("m") > 1, (F.log(F.col("m").cast("double")) - F.col("s") / F.col("m")) / F.log(F.col("m").cast("double"))).otherwise(1.0).alias("e")
         )
 
-    shape, content = entropy("shape"), entropy("content").select("host", "node", F.col("e").alias("ec"))
-    return shape.join(content, ["host", "node"]).select("host", "node", F.col("m").alias("pages"), F.greatest("e", "ec").alias("importance"))
+    shape, content = entropy("shape"), entropy("content").select("node", F.col("e").alias("ec"))
+    return shape.join(content, "node").select("node", F.col("m").alias("pages"), F.greatest("e", "ec").alias("importance"))
 
 
-def information(nodes: DataFrame) -> DataFrame:
-    """``(host, node, content, first)``, a row for each content of a node on each distinct page
-    (the node's ``first`` row there says so) -> ``pages`` and ``information`` of each content: how
-    unexpected it is on a page with the node, from 0 (all pages have it) to 1 (a single one)."""
-    n = nodes.groupBy("host", "node", "content").agg(F.count(F.lit(1)).alias("pages"), F.sum("first").alias("f"))
-    with_node = n.groupBy("host", "node").agg(F.sum("f").alias("m"))
+def information(nodes: DataFrame, pages: int = 1) -> DataFrame:
+    """``(node, content, first)``, a row for each content of a node on each distinct page
+    (the node's ``first`` row there says so) -> ``pages`` and ``information`` of each content that
+    ``pages`` pages have at least: how unexpected it is on a page with the node, from 0 (all
+    pages have it) to 1 (a single one). Only such contents meet their node again."""
+    n = nodes.groupBy("node", "content").agg(F.count(F.lit(1)).alias("pages"), F.sum("first").alias("f"))
+    with_node = n.groupBy("node").agg(F.sum("f").alias("m"))
     log = lambda c: F.log(F.col(c).cast("double"))
-    return n.join(with_node, ["host", "node"]).select("host", "node", "content", "pages", F.when(F.col("m") > 1, 1 - log("pages") / log("m")).otherwise(1.0).alias("information"))
+    return n.where(F.col("pages") >= pages).join(with_node, "node").select("node", "content", "pages", F.when(F.col("m") > 1, 1 - log("pages") / log("m")).otherwise(1.0).alias("information"))
 
 
-_OBSERVED = pa.schema([("host", pa.string()), ("page", pa.int64()), ("node", pa.list_(pa.int64())), ("shape", pa.list_(pa.int64())), ("content", pa.list_(pa.int64())), ("inside", pa.list_(pa.bool_())), ("first", pa.list_(pa.int32()))])
-_OBSERVED_DDL = "host string, page long, node array<long>, shape array<long>, content array<long>, inside array<boolean>, first array<int>"
+_OBSERVED = pa.schema([("html_key", pa.int64()), ("page", pa.int64()), ("node", pa.list_(pa.int64())), ("shape", pa.list_(pa.int64())), ("content", pa.list_(pa.int64())), ("inside", pa.list_(pa.bool_())), ("first", pa.list_(pa.int32()))])
+_OBSERVED_DDL = "html_key long, page long, node array<long>, shape array<long>, content array<long>, inside array<boolean>, first array<int>"
 _TEXT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
+_TEXT_DDL = "page_id long, url string, text string, n_chars long"
 
 
 def host_of(url: str | None) -> str:
@@ -263,50 +304,64 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def extract(pages: DataFrame, params: StyleParams = StyleParams()) -> DataFrame:
-    """``pages(page_id, url, html, ...)`` -> ``page_id, url, text, n_chars`` for every row.
-
-    One pass observes the style nodes, an aggregation judges them, a second pass over
-    the pages takes the branches with unimportant contents out. Pages of a host with equal texts count
-    as one, so copies don't make a content unimportant. Only contents of low information are
-    sent to the second pass, as a list for each host, joined by host. A null html
-    gives an empty text; a page without a host is judged with others that have none.
-    Rows keep their multiplicity; other columns aren't read; no page gives no row.
-    """
+def unimportant(pages: DataFrame, params: StyleParams = StyleParams()) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Pass one and the judgement: the contents of low information (``content``), what each page
+    was seen to have (``html_key, content`` arrays), and the folders that hold them."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in slices(whole, 1):
                 rows = []
-                for url, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for url, html, key in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                     if html:
-                        page, found = observe(html)
-                        nodes = [x[0] for x in found]
-                        starts = dict.fromkeys(nodes)
-                        first = [int(starts.pop(x, 0) is None) for x in nodes]
-                        rows.append((host_of(url), page, *([x[i] for x in found] for i in range(4)), first))
+                        page, found = observe(html, host_of(url))
+                        starts = dict.fromkeys(x[0] for x in found)
+                        first = [int(starts.pop(x[0], 0) is None) for x in found]
+                        rows.append((key, page, *([x[i] for x in found] for i in range(4)), first))
                 yield batch_of(_OBSERVED, **{f.name: [r[i] for r in rows] for i, f in enumerate(_OBSERVED)})
 
-    distinct, path = materialize(pages.select("url", "html").mapInArrow(look, _OBSERVED_DDL).dropDuplicates(["host", "page"]), "style-nodes")
-    seen = distinct.select("host", F.inline(F.arrays_zip("node", "shape", "content", "inside", "first")))
-    repeated = information(seen).where((F.col("pages") >= params.pages) & (F.col("information") < params.least))
-    varied = importance(seen.where("inside")).where(F.col("importance") >= params.least).select("host", "node")
-    repeated = repeated.join(varied, ["host", "node"], "left_anti")
-    low, low_path = materialize(repeated.groupBy("host").agg(F.sort_array(F.collect_set("content")).alias("low")), "style-low")
-    discard(pages.sparkSession, path)
+    observed, path = materialize(in_arrow(pages.select("url", "html", _html_key().alias("html_key")), look, _OBSERVED_DDL).dropDuplicates(["html_key", "page"]), "style-nodes")
+    one = observed.dropDuplicates(["page"]).select(F.inline(F.arrays_zip("node", "shape", "content", "inside", "first")))
+    seen, seen_path = materialize(one, "style-seen")
+    repeated = information(seen, params.pages).where(F.col("information") < params.least).select("node", "content")
+    varied = importance(seen.where("inside")).where(F.col("importance") >= params.least).select("node")
+    low, low_path = materialize(repeated.join(varied, "node", "left_anti").select("content").distinct(), "style-low")
+    return low, observed, [path, seen_path, low_path]
+
+
+def _html_key() -> F.Column:
+    return F.xxhash64("html", "url")
+
+
+def extract(pages: DataFrame, params: StyleParams = StyleParams()) -> DataFrame:
+    """``pages(page_id, url, html, ...)`` -> ``page_id, url, text, n_chars`` for every row.
+
+    One pass observes the style nodes, an aggregation judges them, a second pass over
+    the pages takes the branches with unimportant contents out. Pages of a host with equal texts count
+    as one, so copies don't make a content unimportant. Contents of low information go to
+    the second pass as one sorted array while they are ``params.shared`` at most (counted first);
+    beyond that each page meets its own ones in a join by a hash of the page, whose hot
+    keys (copies) hold no list longer than one page has elements. A null html
+    gives an empty text; a page without a host is judged with others that have none.
+    Rows keep their multiplicity, null and repeated page_ids too; other columns aren't read; no page gives no row.
+    """
+    spark = pages.sparkSession
+    low, observed, paths = unimportant(pages, params)
+    few = low.count() <= params.shared
+    if few:
+        known = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in low.toLocalIterator()], np.int64)))
+        rows = pages.select("page_id", "url", "html")
+        discard(spark, *paths)
+    else:
+        own = observed.select("html_key", F.explode("content").alias("content")).distinct().join(low, "content", "left_semi").groupBy("html_key").agg(F.collect_list("content").alias("low"))
+        rows = pages.select("page_id", "url", "html", _html_key().alias("html_key")).join(own, "html_key", "left").select("page_id", "url", "html", "low")
+        known = None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[tuple, frozenset] = {}
         for whole in batches:
             for part in slices(whole, 2):
-                texts = []
-                for html, nodes in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    key = tuple(nodes or ())
-                    if key not in sets:
-                        sets[key] = frozenset(key)
-                    texts.append(blocks_of(html, sets[key]) if html else "")
+                own = [known.value] * len(part) if known is not None else [np.sort(np.array(x or [], np.int64)) for x in part.column(3).to_pylist()]
+                texts = [blocks_of(html, x, host_of(url)) if html else "" for url, html, x in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), own, strict=True)]
                 yield batch_of(_TEXT, page_id=part.column(0), url=part.column(1), text=texts, n_chars=[len(t) for t in texts])
 
-    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    joined = pages.select("page_id", "url", "html", host.alias("host")).join(low, "host", "left").select("page_id", "url", "html", "low")
-    return joined.mapInArrow(cut, "page_id long, url string, text string, n_chars long")
+    return in_arrow(rows, cut, _TEXT_DDL)
