@@ -3,8 +3,9 @@
 From labelled credentials of a format a prefix tree is grown, and states whose
 continuations are statistically compatible (the Hoeffding bound of ALERGIA) are
 merged into a probabilistic automaton. A candidate string is a secret when some
-format's automaton gives it a far higher likelihood than the background, a
-model of character pairs in ordinary long words.
+format's automaton gives it a far higher likelihood than anything ordinary does: a
+model of character pairs in long words and names made of words (paths, hosts,
+identifiers), and automata of labelled ordinary formats (UUIDs, times, numbers).
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import batch_of, slices, text_bytes, text_column
+from folioforge.llm.common import batch_of, discard, in_arrow, materialize, slices, text_bytes, text_column
 
 #: Kinds in their order; the last one is the automata's.
 KINDS = ("assign", "access", "hex", "format")
@@ -35,8 +36,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 #: Strings that the automata judge.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-#: Examples are learned up to this length, and parts of a candidate that span cuts have it at most.
-LONGEST = 64
+#: Examples of up to so many characters are learned from, and parts of a candidate that span cuts have it at most.
+LONGEST = 128
 _HINT = "(?i)passw|secret|token|api"
 _inside = np.zeros(256, bool)
 _inside[list((string.ascii_letters + string.digits + "+/_.=-").encode())] = True
@@ -79,14 +80,20 @@ class Automaton:
 
     moves: list[dict[str, list[int]]] = field(default_factory=lambda: [{}])  # symbol -> [target, count]
     ends: list[int] = field(default_factory=lambda: [0])
+    #: The shortest and the longest string that can have the format.
+    lengths: tuple[int, int] = (0, 1 << 31)
 
     @classmethod
     def infer(cls, words: Iterable[str], alpha: float = 0.05) -> Automaton:
-        """Prefix tree of ``words``, its compatible states merged (red-blue order)."""
-        a = cls()
+        """Prefix tree of ``words`` (those over ``LONGEST`` are left out), its compatible states
+        merged (red-blue order). If all have one length, so have all strings of the format;
+        else these are between the shortest and twice the longest."""
+        words = [w for w in words if len(w) <= LONGEST]
+        lengths = {len(w) for w in words} or {0}
+        a = cls(lengths=(min(lengths), max(lengths) * (1 if len(lengths) == 1 else 2)))
         for w in words:
             s = 0
-            for c in map(_symbol, w[:LONGEST]):
+            for c in map(_symbol, w):
                 if c not in a.moves[s]:
                     a.moves[s][c] = [len(a.moves), 0]
                     a.moves.append({})
@@ -154,11 +161,12 @@ class Automaton:
                 if t not in place:
                     place[t] = len(order)
                     order.append(t)
-        return Automaton([{c: [place[t], n] for c, (t, n) in self.moves[s].items()} for s in order], [self.ends[s] for s in order])
+        return Automaton([{c: [place[t], n] for c, (t, n) in self.moves[s].items()} for s in order], [self.ends[s] for s in order], self.lengths)
 
     def log_likelihood(self, word: str, unseen: float = 1e-4) -> float:
-        """Of the word and its end (longer ones than any example have none). A move that no
-        example made costs log ``unseen``."""
+        """Of the whole word and its end. A move that no example made costs log ``unseen``."""
+        if not self.lengths[0] <= len(word) <= self.lengths[1]:
+            return -math.inf
         s, total = 0, 0.0
         for c in word:
             k = _symbol(c)
@@ -168,7 +176,7 @@ class Automaton:
             else:
                 total += math.log(step[1] / self._total(s) / _CLASS_SIZE.get(k, 1))
                 s = step[0]
-        return total + (math.log(max(self.ends[s], 0.01) / max(1, self._total(s))) if len(word) <= LONGEST else 0.0)
+        return total + math.log(max(self.ends[s], 0.01) / max(1, self._total(s)))
 
 
 class Background:
@@ -236,37 +244,62 @@ def labelled_examples(each: int = 120, seed: int = 11) -> dict[str, list[str]]:
     return {name: [head + "".join(rng.choices(letters, k=rng.choice(sizes))) for _ in range(each)] for name, (head, letters, sizes) in FORMATS.items()}
 
 
+def ordinary_examples(each: int = 120, seed: int = 13) -> dict[str, list[str]]:
+    """Strings of formats that are no secrets."""
+    rng = random.Random(seed)
+    hexa = lambda n: "".join(rng.choices(_LOWER_HEX, k=n))
+    when = lambda: f"{rng.randint(1990, 2035)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}"
+    return {
+        "uuid": ["-".join(map(hexa, (8, 4, 4, 4, 12))) for _ in range(each)],
+        "time": [f"{when()}T{rng.randint(0, 23):02}{rng.randint(0, 59):02}{rng.randint(0, 59):02}" for _ in range(each)],
+        "dates": [f"{when()}{rng.choice('/_.')}{when()}" for _ in range(each)],
+        "number": ["".join(rng.choices(string.digits, k=rng.randint(16, 24))) for _ in range(each)],
+    }
+
+
+def names_of(words: list[str], seed: int = 17) -> list[str]:
+    """Names made of ordinary words: paths, hosts, and identifiers of several styles."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(0, len(words) - 2, 3):
+        some = [w.lower() for w in words[i : i + 3]]
+        out += ["/" + "/".join(some), f"www.{some[0]}.org/{some[1]}.html", f"{some[0]}{rng.randint(0, 99)}.{some[1]}.com", "_".join(some), "-".join(some), "".join(w.title() for w in some), some[0] + some[1].title() + some[2].title(), f"{some[0]}/{rng.randint(1990, 2035)}/{rng.randint(1, 12):02}/{some[1]}-{rng.randint(1, 999)}", "_".join(some).upper()]
+    return out
+
+
 @dataclass
 class Scanner:
-    """Automata by format, the background, and the least log-likelihood ratio of a secret."""
+    """Automata by format, the background, automata of ordinary formats, and the least
+    log-likelihood ratio of a secret."""
 
     formats: dict[str, Automaton]
     background: Background
-    least: float = 12.0
+    ordinary: dict[str, Automaton] = field(default_factory=dict)
+    least: float = 14.0
 
     def score(self, word: str) -> tuple[float, str]:
-        base = self.background.log_likelihood(word)
+        base = max([self.background.log_likelihood(word), *(a.log_likelihood(word) for a in self.ordinary.values())])
         return max((a.log_likelihood(word) - base, name) for name, a in self.formats.items())
 
     def _passes(self, word: str) -> float:
         """The score of a word that can be a secret, else 0."""
-        if len(word) < 16 or not any(c.isdigit() for c in word):
+        if len(word) < 16:
             return 0.0
         score = self.score(word)[0]
         return score if score >= self.least else 0.0
 
     def _within(self, text: str, s: int, e: int) -> Iterator[tuple[int, int]]:
-        """The secrets in text[s:e], which no base span touches: the whole if it is one by its
-        first characters or all of them, else its best parts that don't overlap."""
+        """The secrets in text[s:e], which no base span touches: the whole if it is one, else
+        its best parts that don't overlap."""
         word = text[s:e].strip(".=-")
         if len(word) < 16:
             return
         at = text.index(word, s)
-        if self._passes(word[:LONGEST]) or len(word) > LONGEST and self._passes(word):
+        if self._passes(word):
             yield at, at + len(word)
             return
         taken: list[tuple[int, int]] = []
-        scored = [(-score, a, b) for a, b in parts(text, at, at + len(word)) if (score := self._passes(text[a:b]))]
+        scored = [(-score / (b - a), a, b) for a, b in parts(text, at, at + len(word)) if (score := self._passes(text[a:b]))]  # by character: a path beside a key only thins it
         for _, a, b in sorted(scored):
             i = bisect_left(taken, (a, b))
             if (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or taken[i][0] >= b):
@@ -294,7 +327,8 @@ def train(docs: DataFrame, *, sample: int = 20_000, words: int = 4_000, per_form
     """Infer the automata from labelled credentials: the fixed examples, and what the
     base patterns find in ``sample`` documents (those of least hash, a bounded sample,
     as are ``words`` ordinary long words for the background and ``per_format`` found
-    credentials). Nothing that grows with the corpus reaches the driver."""
+    credentials). Nothing that grows with the corpus reaches the driver. The documents
+    are read once, for what is found in them."""
     ids = docs.where("text is not null and doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample).select("doc_id")
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
     out = pa.schema([("kind", pa.string()), ("value", pa.string())])
@@ -306,14 +340,15 @@ def train(docs: DataFrame, *, sample: int = 20_000, words: int = 4_000, per_form
                 spans = base_spans(text)
                 for s, k, e in spans:
                     value = _ASSIGN.match(text, s)[1] if k == 0 else text[s:e]
-                    found.add((KINDS[k], value[:LONGEST]))
+                    found.add((KINDS[k], value))
                 if not spans:
-                    found.update(("word", w[:LONGEST]) for w in re.findall("[A-Za-z]{12,}", text)[:50])
+                    found.update(("word", w) for w in re.findall("[A-Za-z]{12,}", text))
+            found = {(k, v) for k, v in found if len(v) <= LONGEST}
             rows = sorted(found)
             yield batch_of(out, kind=[k for k, _ in rows], value=[v for _, v in rows])
 
     bound = {k: per_format for k in KINDS[:3]} | {"word": words}
-    rows = chosen.mapInArrow(run, "kind string, value string").distinct()
+    rows, path = materialize(in_arrow(chosen, run, "kind string, value string").distinct(), "found")
     pick = None
     for kind, n in bound.items():
         part = rows.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(n)
@@ -321,12 +356,19 @@ def train(docs: DataFrame, *, sample: int = 20_000, words: int = 4_000, per_form
     found = defaultdict(list)
     for kind, value in sorted(map(tuple, pick.collect())):
         found[kind].append(value)
+    discard(docs.sparkSession, path)
     examples = labelled_examples()
     for kind in KINDS[:3]:
         if len(found[kind]) >= 20:
             examples[f"found_{kind}"] = found[kind]
     plain = found["word"] or ["information", "international", "documentation"]
-    return Scanner({name: Automaton.infer(w) for name, w in examples.items()}, Background(plain))
+    return fit(examples, plain)
+
+
+def fit(examples: dict[str, list[str]], plain: list[str]) -> Scanner:
+    """A scanner from labelled credentials by format and ordinary long words."""
+    infer = lambda by: {name: Automaton.infer(w) for name, w in by.items()}
+    return Scanner(infer(examples), Background([*plain, *names_of(plain)]), infer(ordinary_examples()))
 
 
 # --- the scan ------------------------------------------------------------------------
@@ -387,7 +429,7 @@ def scan_secrets(docs: DataFrame, scanner: Scanner) -> DataFrame:
                     base_sha256=[hashlib.sha256(x.encode()).hexdigest() for x in base], spans=[listed(r) for r in rows],
                 )
 
-    return text_column(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_format long, base_sha256 string, spans string")
+    return in_arrow(text_column(docs, "doc_id", "text"), run, "doc_id long, n_assign long, n_access long, n_hex long, n_format long, base_sha256 string, spans string")
 
 
 def redact_text(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -421,5 +463,5 @@ def redact(docs: DataFrame, scanner: Scanner) -> DataFrame:
                     part = part.set_column(at, part.schema.field(at), pa.array(texts, col.type))
                 yield part
 
-    changed = docs.mapInArrow(run, schema)
+    changed = in_arrow(docs, run, schema)
     return changed.withColumn("n_chars", F.char_length("text").cast(schema["n_chars"].dataType)) if "n_chars" in schema.names else changed
