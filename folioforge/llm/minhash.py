@@ -15,10 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import batch_of, discard, materialize, slices, text_column
+from folioforge.llm.common import batch_of, in_arrow, discard, materialize, slices, text_column
 from folioforge.llm.components import components
 from folioforge.llm.wordscan import mix, scan, shingles
 
@@ -87,7 +87,7 @@ def band_keys(sig: np.ndarray, params: MinMaxParams) -> np.ndarray:
     return keys
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
 def _sign(batches: Iterator[pa.RecordBatch], params: MinMaxParams) -> Iterator[pa.RecordBatch]:
@@ -102,12 +102,17 @@ def _sign(batches: Iterator[pa.RecordBatch], params: MinMaxParams) -> Iterator[p
                 b[some] = np.add.reduceat(mix(h + np.uint64(0x14057B7EF767814F)), first[:-1][some])
             keys = band_keys(signature(h, first, params), params) if len(h) else np.zeros((0, params.bands), np.uint64)
             ends = np.concatenate([[0], np.cumsum(some * params.bands)]).astype(np.int32)
-            yield batch_of(_SIGNED, doc_id=part.column(0), n_shingles=n, set_a=a.view(np.int64), set_b=b.view(np.int64), bands=pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1).view(np.int64))))
+            yield batch_of(_SIGNED, doc_id=part.column(0), text_key=part.column(2), n_shingles=n, set_a=a.view(np.int64), set_b=b.view(np.int64), bands=pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1).view(np.int64))))
+
+
+def text_key() -> Column:
+    """Tells different texts of one doc_id apart."""
+    return F.xxhash64("text")
 
 
 def sign(docs: DataFrame, params: MinMaxParams) -> DataFrame:
-    """``(doc_id, text)`` -> set size, a 128-bit fingerprint of the set, band keys."""
-    return text_column(docs, "doc_id", "text").mapInArrow(lambda it: _sign(it, params), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    """``(doc_id, text)`` -> ``text_key``, set size, a 128-bit fingerprint of the set, band keys."""
+    return in_arrow(docs.select("doc_id", "text", text_key().alias("text_key")), lambda it: _sign(it, params), "doc_id long, text_key long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], params: MinMaxParams) -> Iterator[pa.RecordBatch]:
@@ -134,7 +139,7 @@ def _confirm(batches: Iterator[pa.RecordBatch], params: MinMaxParams) -> Iterato
 
 
 def near_duplicates(docs: DataFrame, params: MinMaxParams = MinMaxParams()) -> DataFrame:
-    """``docs(doc_id, text, ...)`` -> ``doc_id, n_shingles, component_id, kept`` for every row.
+    """``docs(doc_id, text, ...)`` -> ``doc_id, text_key, n_shingles, component_id, kept`` for every row.
 
     1. One pass over the texts signs them. Rows of equal shingle sets collapse to
        their smallest doc_id (an aggregation that is pre-aggregated in each task, so
@@ -152,7 +157,8 @@ def near_duplicates(docs: DataFrame, params: MinMaxParams = MinMaxParams()) -> D
     judged by their own text each (different texts whose smallest doc_id is the same
     one share its component), and a row that repeats another is kept like it. A null
     doc_id is returned with a null component and kept. ``docs`` may be empty and may
-    have any further columns; they are not read.
+    have any further columns; they are not read. Tables of single steps are deleted before
+    it returns, so that only the result stays in the shared folder.
     """
     spark = docs.sparkSession
     signed, signed_path = materialize(sign(docs, params), "signed")
@@ -169,7 +175,7 @@ def near_duplicates(docs: DataFrame, params: MinMaxParams = MinMaxParams()) -> D
     links = None
     tested = None
     hubs = 1
-    paths = [classes_path, members_path, texts_path]
+    paths = [signed_path, classes_path, members_path, texts_path]
     left = members.select("bucket", "rep", "n", F.col("rep").alias("comp"))
     while True:
         pick = F.pmod(F.xxhash64("rep"), F.lit(hubs))
@@ -199,15 +205,25 @@ def near_duplicates(docs: DataFrame, params: MinMaxParams = MinMaxParams()) -> D
         if left.isEmpty():
             break
         hubs = hubs * 8
-    same = signed.where("n_shingles > 0 and doc_id is not null").select("doc_id", "set_a", "set_b", "n_shingles")
+    same = signed.where("n_shingles > 0 and doc_id is not null").select("doc_id", "text_key", "set_a", "set_b", "n_shingles")
     owner = same.join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"])
-    whole = owner.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    none = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return whole.unionByName(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    whole = owner.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    none = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"))
+    result, _ = materialize(whole.unionByName(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-duplicates")
+    discard(spark, *paths)
+    return result
+
+
+def keep_one(docs: DataFrame, params: MinMaxParams = MinMaxParams()) -> DataFrame:
+    """The rows of ``docs``, with all their columns, but for those that ``near_duplicates`` doesn't
+    keep: of each group the row of the smallest doc_id stays. A row goes for its own text:
+    another text with the same doc_id stays if it is kept, and so do rows with a null id."""
+    copies = near_duplicates(docs, params).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    return docs.join(copies, (docs["doc_id"] == copies["_id"]) & (F.xxhash64(docs["text"]) == copies["_key"]), "left_anti")
 
 
 def _test(pairs: DataFrame, texts: DataFrame, params: MinMaxParams) -> DataFrame:
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(lambda it: _confirm(it, params), "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
+    return in_arrow(both, lambda it: _confirm(it, params), "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
