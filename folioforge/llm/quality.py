@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import batch_of, slices, text_column
+from folioforge.llm.common import batch_of, in_arrow, slices, text_column
 from folioforge.llm.wordscan import IS_SPACE, scan, window_counts
 
 MEASURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
@@ -86,7 +86,7 @@ def ledger(docs: DataFrame) -> DataFrame:
     Null, empty and blank texts measure 0 everywhere (and fail ``few_words``). Rows
     keep their multiplicity; a null doc_id stays null. Other columns aren't read.
     """
-    measured = text_column(docs, "doc_id", "text").mapInArrow(_measure, MEASURES)
+    measured = in_arrow(text_column(docs, "doc_id", "text"), _measure, MEASURES)
     bits = F.lit(0).cast("long")
     for i, (_, fails) in enumerate(RULES):
         bits = bits.bitwiseOR(F.when(F.expr(fails), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
@@ -98,6 +98,15 @@ def verdict(policy: Policy, bits: str = "fail_bits") -> Column:
     return F.col(bits).bitwiseAND(F.lit(policy.mask).cast("long")) == 0
 
 
+def only_rule(policy: Policy = CURRENT) -> Column:
+    """The name of the only rule of the policy that a row fails, else null."""
+    bits = F.col("fail_bits").bitwiseAND(F.lit(policy.mask).cast("long"))
+    out = F.lit(None).cast("string")
+    for i, (name, _) in enumerate(RULES):
+        out = F.when(bits == (1 << i), F.lit(name)).otherwise(out)
+    return out
+
+
 def apply_policy(rows: DataFrame, policy: Policy = CURRENT) -> DataFrame:
     return rows.withColumn("kept", verdict(policy)).withColumn("policy", F.lit(policy.version))
 

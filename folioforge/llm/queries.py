@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm import bbpe, decontam, lang_id, minhash, quality, secrets, style_tree, token_cache, toxicity, warc
-from folioforge.llm.common import table
+from folioforge.llm.common import materialize, table
 
 
 def held_out() -> Column:
@@ -35,7 +35,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), OP2)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), OP2).drop("text_key")
 
 
 #: Words by ASCII white space, A-Z folded; sets of 3-word shingles; all pairs that share one.
@@ -58,10 +58,25 @@ FROM documents d JOIN c ON c.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 
 
 
+def _stored_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger, stored: what follows reads measurements and bits, no text."""
+    return materialize(quality.ledger(table(spark, sf_dir, "documents")), "quality-ledger")[0]
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")), quality.CURRENT)
-    base = rows.fail_bits.bitwiseAND(F.lit(quality.BASE_MASK).cast("long")) != 0
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "fail_bits")
+    """Both policies applied to the stored ledger; ``only_rule`` is the rule without which a document would be kept."""
+    rows = quality.apply_policy(_stored_ledger(spark, sf_dir), quality.CURRENT)
+    base = ~quality.verdict(quality.POLICIES["base-1"])
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "fail_bits", quality.only_rule().alias("only_rule"))
+
+
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy costs, by bit arithmetic over the stored ledger."""
+    rows, out = _stored_ledger(spark, sf_dir), None
+    for policy in quality.POLICIES.values():
+        one = quality.ablation(rows, policy).select(F.lit(policy.version).alias("policy"), "rule", "failed", "only_failure", "kept_now")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 OP4_SQL = r"""
@@ -82,7 +97,13 @@ WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text
     + (CASE WHEN word_chars > 20 * n_words THEN 16 ELSE 0 END) + (CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 32 ELSE 0 END) AS fail_bits
   FROM m
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
+"""
+_OP4_BITS = OP4_SQL
+OP4_SQL += """SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits,
+  CASE fail_bits WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_windows' WHEN 4 THEN 'symbols' WHEN 8 THEN 'short_words' WHEN 16 THEN 'long_words' WHEN 32 THEN 'repeated_lines' END AS only_rule FROM b
+"""
+ABLATION_SQL = _OP4_BITS + """, r AS (SELECT * FROM (VALUES ('base-1', 3), ('full-1', 63)) p(policy, mask), (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('short_words', 8), ('long_words', 16), ('repeated_lines', 32)) q(rule, bit) WHERE mask & bit <> 0)
+SELECT policy, rule, count(*) FILTER (fail_bits & bit <> 0) AS failed, count(*) FILTER (fail_bits & mask = bit) AS only_failure, count(*) FILTER (fail_bits & mask = 0) AS kept_now FROM r, b GROUP BY ALL
 """
 
 
@@ -130,6 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
+    "quality_ablation": quality_ablation,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_decontamination": op6_decontamination,
     "op7_warc": op7_warc,
@@ -137,4 +159,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_secret_scan": op10_secret_scan,
 }
-SQL: dict[str, str] = {"op2_minhash_dedup": OP2_SQL, "op4_quality_rules": OP4_SQL, "op7_warc": OP7_SQL}
+SQL: dict[str, str] = {"op2_minhash_dedup": OP2_SQL, "op4_quality_rules": OP4_SQL, "quality_ablation": ABLATION_SQL, "op7_warc": OP7_SQL}

@@ -23,7 +23,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import batch_of, materialize, scratch
+from folioforge.llm.common import batch_of, in_arrow, materialize, scratch
 
 #: One date for all records, so that equal input gives equal archives.
 DATE = datetime(2024, 1, 1, tzinfo=timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
@@ -143,7 +143,7 @@ def capture(pages: DataFrame, folder: str) -> DataFrame:
         if writer:
             writer.out.close()
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, _PLACED_DDL)
+    return in_arrow(pages.select("page_id", "url", "html"), run, _PLACED_DDL)
 
 
 def resolve(headers: DataFrame, least: int = 0) -> DataFrame:
@@ -206,7 +206,7 @@ def read(archives: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
 
     names = archives.select("archive")
     n = max(1, names.count())
-    return names.repartition(min(n, names.sparkSession.sparkContext.defaultParallelism * 4)).mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string")
+    return in_arrow(names.repartition(min(n, names.sparkSession.sparkContext.defaultParallelism * 4)), run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string")
 
 
 def archive_round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
