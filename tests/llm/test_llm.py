@@ -220,17 +220,23 @@ def test_counts_equal_the_library(text):
     assert counter.count([text]) == [len(counter.model.encode(text))]
 
 
-def test_token_cache(spark, tmp_path):
+def test_token_cache(spark, tmp_path, monkeypatch):
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(token_cache.VOCABULARY))
     store = f"file://{tmp_path}/cache"
-    docs = frame(spark, ODD)
-    for _ in range(2):
-        for r in token_cache.count_tokens(docs, cache=store, limit=100).collect():
-            t = ODD[r.doc_id] or ""
+    docs = frame(spark, [*ODD, "text of its own"])
+    for hits in (False, True):
+        for r in token_cache.count_tokens(docs if hits else frame(spark, ODD), cache=store, limit=100).collect():
+            t = [*ODD, "text of its own"][r.doc_id] or ""
             n = len(sp.encode(t))
             assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), n, n > 100)
+            assert r.from_cache == (hits and r.doc_id < len(ODD))
     stored = token_cache.read_cache(spark, store)
-    assert stored.count() == len({t or "" for t in ODD})
+    assert stored.count() == len({t or "" for t in ODD}) + 1
+    # a filter that is always wrong: the counts are the same
+    monkeypatch.setattr(token_cache, "FILTER_BITS", 64)
+    for r in token_cache.count_tokens(frame(spark, texts := [f"number {i} of these" for i in range(300)] + ODD), cache=store).collect():
+        assert r.n_tokens == len(sp.encode(texts[r.doc_id] or "")) and r.from_cache == (r.doc_id >= 300)
+    assert token_cache.read_cache(spark, store).count() == len({t or "" for t in ODD}) + 301
     nulls = spark.createDataFrame([(None, "x y"), (None, "z"), (1, "q"), (1, "r s t")], "doc_id long, text string")
     assert sorted(r.n_tokens for r in token_cache.count_tokens(nulls).collect()) == sorted(len(sp.encode(t)) for t in ("x y", "z", "q", "r s t"))
     assert token_cache.count_tokens(empty(spark)).count() == 0
