@@ -18,30 +18,33 @@ from folioforge.llm.queries import held_out
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the labelled examples, a fifth held out, reject go."""
+    """Documents that the labelled examples, a fifth held out, reject go. Each row is judged by
+    its own text; null and empty texts score as labelled ones without a word do; without
+    labels of both classes every row stays or none, by the share of toxic ones."""
     return toxicity.keep_clean(docs, toxicity.train(docs.where(~held_out()), table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at a similarity of 0.8 the smallest id stays."""
-    groups = minhash.near_duplicates(docs, minhash.MinMaxParams(k=5, percent=80))
-    copies, _ = materialize(groups.where(~F.col("kept")).select("doc_id").distinct(), "copies")
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    """Of documents linked by five-word shingles at a similarity of 0.8 the smallest id stays.
+    Rows go for their own text; those without words, with a null id, or equal in id and text to a kept one stay."""
+    return minhash.keep_one(docs, minhash.MinMaxParams(k=5, percent=80))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of a benchmark item go."""
+    """Documents with a passage of a benchmark item go: all rows of their ids. Null and empty texts
+    and null ids are clean; an empty benchmark leaves all."""
     found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    ids = found.select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(ids, docs["doc_id"] == ids["_id"], "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by their kind; every document stays."""
+    """Secrets are replaced by their kind; every row stays, a null text as a null."""
     return secrets.redact(docs, secrets.train(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and of the decoded bytes."""
+    """Token counts and digests of ids and of the decoded bytes, a row for each row; a null text is empty."""
     return bbpe.round_trip(docs)
 
 
@@ -53,8 +56,8 @@ STAGES = [
     ("byte_bpe", encode),
 ]
 
-#: No SQL: nearest examples, automata and the tokenizer have none; the tests hold the
-#: stages against brute force.
+#: No SQL: nearest examples, automata and the tokenizer have none; ``tests/llm/test_pipeline.py``
+#: holds the stages' rows against brute-force versions.
 ORACLE_SQL = None
 
 
