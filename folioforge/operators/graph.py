@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import cosine, lexical_score_tokens, tokens
+from folioforge.operators.retrieve import in_blocks
 from folioforge.session import cut
 
 
@@ -93,34 +94,45 @@ def search_nodes_hybrid(queries: DataFrame, nodes: DataFrame, priors: DataFrame,
 
     A query that isn't blank drops nodes without lexical or vector evidence; a blank
     one ranks by the prior. Scores of 0 and less go, 1 is the most; ties by id.
-    Queries are a stated set, each task keeping k nodes a query.
+    Queries are a stated set, sent in blocks of a counted size; each task keeps k nodes a query.
     """
     text = F.trim(F.concat_ws(" ", "label", F.coalesce("description", F.lit(""))))
     node = nodes.join(priors.select("id", "prior"), "id", "left").withColumn("_text", text).withColumn("_t", tokens(F.col("_text")))
-    pairs = node.join(F.broadcast(queries.withColumn("_q", tokens(F.col("query"))).withColumnsRenamed({"embedding": "_qv"})), F.lit(True))
     lex = lexical_score_tokens(F.col("query"), F.col("_q"), F.col("_text"), F.col("_t"))
-    emb = F.greatest(F.lit(0.0), cosine(F.col("_qv"), F.col("embedding"))) if "embedding" in nodes.columns and "embedding" in queries.columns else F.lit(0.0)
-    scored = pairs.withColumn("_lex", lex).withColumn("_emb", emb)
+    emb = _vector_score(nodes, queries)
+    scored = _pairs(queries, node).withColumn("_lex", lex).withColumn("_emb", emb)
     prior = F.coalesce("prior", F.lit(0.0))
     score = F.when(_blank(F.col("query")), 0.15 * prior).otherwise(0.65 * F.col("_lex") + 0.20 * F.col("_emb") + 0.15 * prior)
     kept = scored.where(_blank(F.col("query")) | (F.col("_lex") > 0) | (F.col("_emb") > 0)).withColumn("score", F.least(F.lit(1.0), score)).where("score > 0")
     return _best(kept.select("query_id", "id", "score"), k, F.desc("score"), "id")
 
 
+def _pairs(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """A stated set of queries with all rows, a block of queries a pass."""
+    return in_blocks(queries, lambda q: rows.join(q.withColumn("_q", tokens(F.col("query"))).withColumnsRenamed({"embedding": "_qv"}), F.lit(True)))
+
+
+def _vector_score(rows: DataFrame, queries: DataFrame) -> Column:
+    """max(0, cosine) where both sides have an ``embedding`` column; a null one has 0."""
+    if "embedding" not in rows.columns or "embedding" not in queries.columns:
+        return F.lit(0.0)
+    return F.coalesce(F.greatest(F.lit(0.0), cosine(F.col("_qv"), F.col("embedding"))), F.lit(0.0))
+
+
 def search_edges_hybrid(queries: DataFrame, nodes: DataFrame, edges: DataFrame, priors: DataFrame, k: int = 10) -> DataFrame:
-    """Over ``source label, relation, target label``: 0.55 lexical + 0.15 weight prior + 0.10
-    mean endpoint prior (0.20 of a vector score where there is one); a blank query:
-    0.6 weight + 0.4 endpoints. Ties by edge id."""
+    """Over ``source label, relation, target label``: 0.55 lexical + 0.20 cosine (where both
+    sides have an ``embedding``) + 0.15 weight prior + 0.10 mean endpoint prior; a blank query:
+    0.6 weight + 0.4 endpoints. A query that isn't blank drops edges without lexical or vector
+    evidence. Ties by edge id."""
     label = nodes.select("id", "label").join(priors.select("id", "prior"), "id", "left")
     a = label.select(F.col("id").alias("source_id"), F.col("label").alias("_a"), F.col("prior").alias("_pa"))
     b = label.select(F.col("id").alias("target_id"), F.col("label").alias("_b"), F.col("prior").alias("_pb"))
     e = edge_priors(edges).join(a, "source_id", "left").join(b, "target_id", "left")
     e = e.withColumn("_text", F.concat_ws(" ", F.coalesce("_a", "source_id"), "relation_type", F.coalesce("_b", "target_id"))).withColumn("_t", tokens(F.col("_text")))
-    pairs = e.join(F.broadcast(queries.select("query_id", "query").withColumn("_q", tokens(F.col("query")))), F.lit(True))
     lex = lexical_score_tokens(F.col("query"), F.col("_q"), F.col("_text"), F.col("_t"))
     ends = (F.coalesce("_pa", F.lit(0.0)) + F.coalesce("_pb", F.lit(0.0))) / 2
-    scored = pairs.withColumn("_lex", lex).where(_blank(F.col("query")) | (F.col("_lex") > 0))
-    score = F.when(_blank(F.col("query")), 0.6 * F.col("prior") + 0.4 * ends).otherwise(0.55 * F.col("_lex") + 0.15 * F.col("prior") + 0.10 * ends)
+    scored = _pairs(queries, e).withColumn("_lex", lex).withColumn("_emb", _vector_score(edges, queries)).where(_blank(F.col("query")) | (F.col("_lex") > 0) | (F.col("_emb") > 0))
+    score = F.when(_blank(F.col("query")), 0.6 * F.col("prior") + 0.4 * ends).otherwise(0.55 * F.col("_lex") + 0.20 * F.col("_emb") + 0.15 * F.col("prior") + 0.10 * ends)
     kept = scored.withColumn("score", F.least(F.lit(1.0), score)).where("score > 0")
     return _best(kept.select("query_id", "edge_id", "source_id", "target_id", "relation_type", "weight", "source_segment_id", "score"), k, F.desc("score"), "edge_id", "source_id", "target_id")
 
@@ -147,7 +159,10 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int, most: int | None = Non
         found = frontier.join(steps, frontier.id == steps.u).groupBy("query_id", F.col("v").alias("id")).agg(F.min("place").alias("parent"))
         new = found.join(nodes.select("query_id", "id"), ["query_id", "id"], "left_anti")
         size = nodes.groupBy("query_id").agg(F.max("place").alias("size"))
-        placed = new.join(size, "query_id").withColumn("place", F.col("size") + F.row_number().over(by_query.orderBy("parent", "id")))
+        placed = new.withColumn("_r", F.row_number().over(by_query.orderBy("parent", "id")))
+        if most is not None:  # no more can have a place: each task keeps so many before the shuffle
+            placed = placed.where(F.col("_r") <= most)
+        placed = placed.join(size, "query_id").withColumn("place", F.col("size") + F.col("_r"))
         if most is not None:
             placed = placed.where(F.col("place") <= most)
         frontier = cut(placed.select("query_id", "id", F.lit(hop).alias("hop"), "place"))

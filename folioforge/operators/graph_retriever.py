@@ -112,13 +112,14 @@ def fuse(rankings: list[DataFrame], k: int = 60) -> DataFrame:
 def minmax(scores: DataFrame, strict: bool = False) -> DataFrame:
     """Scores outside [0, 1] are an error (``strict``) or stretched to it by query; where
     all are equal they become 0.5. Queries within [0, 1] stay as they are."""
-    w = W.partitionBy("query_id")
-    lo, hi = F.min("score").over(w), F.max("score").over(w)
     if strict:
         ok = F.when((F.col("score") >= 0) & (F.col("score") <= 1), F.col("score"))
         return scores.withColumn("score", F.coalesce(ok, F.raise_error(F.lit("a score outside [0, 1]")).cast("double")))
+    ends = scores.groupBy("query_id").agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))  # no query's rows in one task
+    lo, hi = F.col("_lo"), F.col("_hi")
     stretched = F.when(hi - lo <= 1e-12, F.lit(0.5)).otherwise((F.col("score") - lo) / (hi - lo))
-    return scores.withColumn("score", F.when((lo < 0) | (hi > 1), stretched).otherwise(F.col("score")))
+    joined = scores.join(ends, scores["query_id"].eqNullSafe(ends["query_id"])).drop(ends["query_id"])
+    return joined.withColumn("score", F.when((lo < 0) | (hi > 1), stretched).otherwise(F.col("score"))).drop("_lo", "_hi")
 
 
 def pick_budget(items: DataFrame, budget: int, order: list, partition: str = "query_id") -> DataFrame:
@@ -134,7 +135,7 @@ def finalize(queries: DataFrame, items: DataFrame, config: GraphQuery, k: int |
     """Dedup, rerank by overlap, least score, budgets by kind and in all, k best."""
     ranked = dedupe(items)
     if config.rerank:
-        ranked = ranked.join(F.broadcast(queries.select("query_id", "query")), "query_id").withColumn("score", clamp(0.75 * F.col("score") + 0.25 * overlap(F.col("query"), F.col("content")))).drop("query")
+        ranked = ranked.join(queries.select("query_id", "query"), "query_id").withColumn("score", clamp(0.75 * F.col("score") + 0.25 * overlap(F.col("query"), F.col("content")))).drop("query")
     ranked = cut(ranked.where(F.col("score") >= config.min_score))
     order = [F.desc("score"), *stable_order()]
     parts = []
@@ -174,8 +175,11 @@ def retrieve(queries: DataFrame, tables: GraphTables, config: GraphQuery = Graph
 def _asked(queries: DataFrame, level: int) -> DataFrame:
     """The query and its keywords of a level, each a query of its own."""
     words = keywords(F.col("query"))[level]
-    each = queries.select(F.col("query_id").alias("_of"), F.explode(F.array_distinct(F.concat(F.array("query"), words))).alias("query"))
-    return each.select(F.struct("_of", "query").alias("query_id"), "query")
+    vector = ["embedding"] if "embedding" in queries.columns else []
+    each = queries.select(F.col("query_id").alias("_of"), F.col("query").alias("_whole"), *vector, F.explode(F.array_distinct(F.concat(F.array("query"), words))).alias("query"))
+    # the vector is that of the whole query
+    own = [F.when(F.col("query") == F.col("_whole"), F.col("embedding")).alias("embedding")] if vector else []
+    return each.select(F.struct("_of", "query").alias("query_id"), "query", *own)
 
 
 def _best_of(hits: DataFrame, key: str, n: int) -> DataFrame:
@@ -231,7 +235,7 @@ def global_(queries: DataFrame, tables: GraphTables, priors: DataFrame, config:
 def hydrate_chunks(queries: DataFrame, items: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """Chunks that the items come from, the k of most overlap with the query."""
     ids = items.where("source_segment_id is not null").select("query_id", F.col("source_segment_id").alias("segment_id")).distinct()
-    rows = ids.join(chunks.select("segment_id", "content"), "segment_id").join(F.broadcast(queries.select("query_id", "query")), "query_id")
+    rows = ids.join(chunks.select("segment_id", "content"), "segment_id").join(queries.select("query_id", "query"), "query_id")
     scored = rows.withColumn("score", clamp(overlap(F.col("query"), F.col("content")))).drop("query")
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "segment_id")
     return _chunk_items(queries, scored.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n"))
@@ -239,7 +243,7 @@ def hydrate_chunks(queries: DataFrame, items: DataFrame, chunks: DataFrame, k: i
 
 def _chunk_items(queries: DataFrame, rows: DataFrame) -> DataFrame:
     """Chunk evidence: 0.75 of the score + 0.25 of the overlap."""
-    asked = rows.join(F.broadcast(queries.select("query_id", "query")), "query_id")
+    asked = rows.join(queries.select("query_id", "query"), "query_id")
     score = clamp(0.75 * F.col("score") + 0.25 * overlap(F.col("query"), F.col("content")))
     return dedupe(asked.select("query_id", F.col("segment_id").cast("string").alias("evidence_id"), F.lit("chunk").alias("kind"), "content", score.alias("score"), F.col("segment_id").cast("string").alias("source_segment_id")))
 

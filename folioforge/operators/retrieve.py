@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioforge.session import cut
+
 #: Queries that one pass over the corpus answers; more are answered in blocks of so many.
 QUERY_BLOCK = 1024
 
@@ -43,17 +46,8 @@ def vector_search(queries: DataFrame, corpus: DataFrame, k: int = 4, *, where: C
     rows = corpus.select(key, "embedding")
     kind = dict(corpus.dtypes)[key]
     found = None
-    block: list = []
     wanted = queries.select("query_id", "embedding").toLocalIterator(prefetchPartitions=True)
-    blocks = []
-    for q in wanted:
-        block.append((q[0], q[1]))
-        if len(block) == QUERY_BLOCK:
-            blocks.append(block)
-            block = []
-    if block or not blocks:
-        blocks.append(block)
-    for part in blocks:
+    while (part := [(q[0], q[1]) for q in islice(wanted, QUERY_BLOCK)]) or found is None:
         shared = spark.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
@@ -102,7 +96,7 @@ def mmr(queries: DataFrame, corpus: DataFrame, k: int = 4, fetch: int = 20, weig
         while len(taken) < min(k, len(pdf)):
             gain = weight * sim - (1 - weight) * (np.where(np.isinf(worst), 0, worst))
             gain[taken] = -np.inf
-            i = int(np.argmax(gain))
+            i = int(np.argmax(np.round(gain, 9)))  # of equal gains the nearer one
             gains.append(gain[i])
             taken.append(i)
             worst = np.maximum(worst, x @ x[i])
@@ -210,22 +204,34 @@ def bm25(queries: DataFrame, corpus: DataFrame, k: int = 4, *, key: str = "doc_i
     """Okapi BM25 over tokens split at white space. A term's negative idf is replaced by
     ``epsilon`` times the mean idf. Each query has k rows, score 0 among them.
 
-    Term frequencies are aggregated from one explode; only postings of query terms
-    are kept beyond the document frequencies, so the wide table is never joined.
+    Document frequencies are counted over distinct terms of each row, combined in each task.
+    A block of queries goes to every task with its terms, so only their postings are
+    aggregated by row; nothing else of a text is shuffled.
     """
     words = corpus.select(F.col(key), F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"(?U)\s+"), lambda x: x != "").alias("w"))
     stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w").cast("double")).alias("avgdl"))
-    tf = words.select(key, F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats.select("n"))).select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
-    mean = idf.agg(F.avg("raw").alias("mean"))
-    terms = queries.select("query_id", F.explode(F.filter(F.split("query", r"(?U)\s+"), lambda x: x != "")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    wanted = idf.join(terms.select("term").distinct(), "term").crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    length = k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
-    scored = (
-        tf.join(wanted, "term").join(terms, "term").crossJoin(F.broadcast(stats.select("avgdl")))
-        .groupBy("query_id", key).agg(F.sum(F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + length)).alias("score"))
-    )
-    # a query with fewer than k matches is filled from the 2 k least keys, of which fewer than k match
-    pool = corpus.select(key).orderBy(key).limit(2 * k)
-    fill = queries.select("query_id").crossJoin(F.broadcast(pool)).join(scored.select("query_id", key), ["query_id", key], "left_anti").withColumn("score", F.lit(0.0))
-    return top_k(scored.unionByName(fill), k, F.desc(F.round("score", 9)), key)
+    df = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = cut(df.crossJoin(F.broadcast(stats.select("n"))).select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw")))
+    facts = cut(idf.agg(F.avg("raw").alias("mean")).crossJoin(F.broadcast(stats.select("avgdl"))))  # one row
+
+    def search(block: DataFrame) -> DataFrame:
+        terms = block.select("query_id", F.explode(F.filter(F.split("query", r"(?U)\s+"), lambda x: x != "")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+        weights = idf.join(F.broadcast(terms), "term").crossJoin(F.broadcast(facts)).select("query_id", "term", "qtf", "avgdl", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+        posted = words.select(key, F.size("w").alias("dl"), F.explode("w").alias("term")).join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+        tf = posted.groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+        length = k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
+        scored = tf.join(F.broadcast(weights), "term").groupBy("query_id", key).agg(F.sum(F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + length)).alias("score"))
+        best = cut(top_k(scored, k, F.desc(F.round("score", 9)), key).drop("rank"))
+        # a query with fewer than k matches is filled from the 2 k least keys, of which fewer than k match
+        full = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+        pool = corpus.select(key).orderBy(key).limit(2 * k)
+        short = block.select("query_id").join(full, "query_id", "left_anti")
+        fill = short.crossJoin(F.broadcast(pool)).join(best.select("query_id", key), ["query_id", key], "left_anti").withColumn("score", F.lit(0.0))
+        low = best.where(F.col("score") <= 0)
+        if low.isEmpty():
+            return best.unionByName(fill)
+        # scores of 0 and less compete with rows that match nothing
+        some = low.select("query_id").distinct().crossJoin(F.broadcast(pool)).join(scored.select("query_id", key), ["query_id", key], "left_anti").withColumn("score", F.lit(0.0))
+        return best.unionByName(fill).unionByName(some).distinct()
+
+    return top_k(in_blocks(queries, search), k, F.desc(F.round("score", 9)), key)
