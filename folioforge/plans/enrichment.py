@@ -84,11 +84,10 @@ def entity_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.join(n, "id").select("id", "type", F.col("description").alias("label"), "edges")
 
 
-@query("""WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS u, 'r' || n_regionkey AS v FROM nation UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation),
-r AS (SELECT DISTINCT u AS id, u AS o FROM e UNION SELECT e.v, r.o FROM r JOIN e ON e.u = r.id) SELECT id, min(o) AS component FROM r GROUP BY id""")
+@query("""WITH RECURSIVE d AS (SELECT 'n' || n_nationkey AS u, 'r' || n_regionkey AS v FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier),
+e AS (SELECT u, v FROM d UNION ALL SELECT v, u FROM d), r AS (SELECT DISTINCT u AS id, u AS o FROM e UNION SELECT e.v, r.o FROM r JOIN e ON e.u = r.id) SELECT id, min(o) AS component FROM r GROUP BY id""")
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("source_id"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("target_id"))
-    return C.connected_components(n)
+    return C.connected_components(tables(spark, sf_dir)[1])
 
 
 @query()
@@ -120,15 +119,10 @@ def tree_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def raptor_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tree over the items of the benchmark, clustered by a hash of their embedding's signs."""
+    """A tree over the items of the benchmark, clustered by mixtures in two steps."""
     leaves = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("segment_id"), F.col("text").alias("content"))
-
-    def sign_clusters(rows: DataFrame) -> DataFrame:
-        bits = F.aggregate(F.slice("embedding", 1, 3), F.lit(0), lambda s, x: s * 2 + F.when(x > 0, 1).otherwise(0))
-        return rows.select("segment_id", bits.alias("cluster"))
-
-    built = tree.finalize(tree.build(leaves, models.hashed_embedder(16), 3, cluster=sign_clusters))
-    return built.select("segment_id", "raptor_level", "depth_from_root", F.size("child_ids").alias("children"), F.length("content").alias("chars"), "budget")
+    built = tree.finalize(tree.build(leaves, models.hashed_embedder(32), 3))
+    return built.select("segment_id", "raptor_level", "depth_from_root", F.size("child_ids").alias("children"), F.length("content").alias("chars"), "budget", "ratio", "error", "exceeds_max_chars")
 
 
 @query("""SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
@@ -137,9 +131,11 @@ def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query()
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.sessions(table(spark, sf_dir, "events"))
+    return ingest.sessions(table(spark, sf_dir, "events")).withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
 
 
 @query("""SELECT s_nationkey, 'Table with headers: s_suppkey,s_name. Contains data rows.' AS summary FROM supplier GROUP BY s_nationkey""")

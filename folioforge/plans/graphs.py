@@ -1,7 +1,8 @@
 """Registered graph queries and their SQL.
 
 The graph: regions, nations, customers and suppliers with their foreign keys. An edge
-from a customer or supplier to its nation weighs its balance in thousands.
+from a customer or supplier to its nation weighs its balance in thousands. The source
+segment of a node or edge is the document whose id is its key.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.operators import graph, graph_retriever
+from folioforge.operators import graph, graph_retriever, models, retrieve
 from folioforge.session import cut, scratch_root, table
 
 QUERIES: dict = {}
@@ -33,10 +34,10 @@ def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     r, n, c, s = (table(spark, sf_dir, x) for x in ("region", "nation", "customer", "supplier"))
 
     def node(df: DataFrame, head: str, key: str, kind: str, label: str, text) -> DataFrame:
-        return df.select(F.concat(F.lit(head), F.col(key).cast("string")).alias("id"), F.lit(kind).alias("type"), F.col(label).alias("label"), text.alias("description"), F.concat(F.lit("seg"), F.pmod(key, F.lit(50)).cast("string")).alias("source_segment_id"))
+        return df.select(F.concat(F.lit(head), F.col(key).cast("string")).alias("id"), F.lit(kind).alias("type"), F.col(label).alias("label"), text.alias("description"), F.concat(F.lit("d"), F.col(key).cast("string")).alias("source_segment_id"))
 
     def edge(df: DataFrame, a: str, key: str, b: str, to: str, kind: str, weight) -> DataFrame:
-        return df.select(F.concat(F.lit(a), F.col(key).cast("string")).alias("source_id"), F.concat(F.lit(b), F.col(to).cast("string")).alias("target_id"), F.lit(kind).alias("relation_type"), weight.alias("weight"), F.concat(F.lit("seg"), F.pmod(key, F.lit(50)).cast("string")).alias("source_segment_id"), F.col(key).cast("long").alias("seq"))
+        return df.select(F.concat(F.lit(a), F.col(key).cast("string")).alias("source_id"), F.concat(F.lit(b), F.col(to).cast("string")).alias("target_id"), F.lit(kind).alias("relation_type"), weight.alias("weight"), F.concat(F.lit("d"), F.col(key).cast("string")).alias("source_segment_id"), F.col(key).cast("long").alias("seq"))
 
     nodes = [node(r, "r", "r_regionkey", "region", "r_name", F.lit(None).cast("string")), node(n, "n", "n_nationkey", "nation", "n_name", F.lit("a nation")), node(c, "c", "c_custkey", "customer", "c_name", F.col("c_mktsegment")), node(s, "s", "s_suppkey", "supplier", "s_name", F.lit(None).cast("string"))]
     edges = [edge(n, "n", "n_nationkey", "r", "n_regionkey", "part of", F.lit(1.0)), edge(c, "c", "c_custkey", "n", "c_nationkey", "lives in", F.col("c_acctbal") / 1000), edge(s, "s", "s_suppkey", "n", "s_nationkey", "sells from", F.col("s_acctbal") / 1000)]
@@ -76,9 +77,9 @@ def graph_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighbors(edges, nodes.where("type = 'region'").select(F.col("id").alias("query_id"), "id"), 2)
 
 
-@query(f"{_G} SELECT id, label FROM nodes WHERE contains(lower(label), 'an') OR contains(lower(coalesce(description, '')), 'an')")
+@query(f"{_G} SELECT id, label FROM nodes WHERE contains(lower(label), 'mer') OR contains(lower(coalesce(description, '')), 'mer')")
 def graph_substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.search_nodes(tables(spark, sf_dir)[0], "AN").select("id", "label")
+    return graph.search_nodes(tables(spark, sf_dir)[0], "MER").select("id", "label")
 
 
 _ASKED = [(1, "nation of asia"), (2, "Customer#000000012 building"), (3, "machinery"), (4, " ")]
@@ -125,12 +126,13 @@ def graph_expand_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _retriever(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     nodes, edges = map(cut, tables(spark, sf_dir))
-    segment = F.concat(F.lit("seg"), F.pmod("doc_id", F.lit(50)).cast("string"))
-    chunks = table(spark, sf_dir, "documents").groupBy(segment.alias("segment_id")).agg(F.min_by("text", "doc_id").alias("content"))
-    chunks = cut(chunks)
-    asked = _asked(spark)
-    near = asked.where("trim(query) <> ''").select("query_id").crossJoin(F.broadcast(chunks.select("segment_id"))).withColumn("score", (F.pmod(F.xxhash64("query_id", "segment_id"), F.lit(1000)) / 1000.0))
-    found = graph_retriever.retrieve(asked, graph_retriever.GraphTables(nodes, edges, chunks, near), graph_retriever.GraphQuery(mode=mode))
+    chunks = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("segment_id"), F.col("text").alias("content"))
+    asked, config, near = _asked(spark), graph_retriever.GraphQuery(mode=mode), None
+    if mode == "mix":
+        embedded = lambda c: models.embed(F.col(c), models.hashed_embedder(64)).alias("embedding")
+        hits = retrieve.vector_search(asked.where("trim(query) <> ''").select("query_id", embedded("query")), chunks.select("segment_id", embedded("content")), 2 * config.chunks, key="segment_id")
+        near = hits.select("query_id", "segment_id", F.greatest(F.col("score"), F.lit(0.0)).alias("score"))
+    found = graph_retriever.retrieve(asked, graph_retriever.GraphTables(nodes, edges, chunks, near), config)
     return found.withColumn("score", F.round("score", 6))
 
 

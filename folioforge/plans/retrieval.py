@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.operators import compose, retrieve
+from folioforge.operators import compose, retrieve, scored
 from folioforge.functions import text as T
 from folioforge.session import table
 
@@ -85,8 +85,8 @@ def levenshtein_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fuzzy_ratio_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = _rows(spark, [(1, "part steel"), (2, "Part#100"), (3, "brass")], "query_id int, query string")
-    return retrieve.fuzzy_scan(q, table(spark, sf_dir, "part"), text="p_name", threshold=60.0, mode="wratio").select("query_id", "p_partkey", F.round("fuzzy_score", 6).alias("fuzzy_score"))
+    q = _rows(spark, [(1, "smal ring"), (2, "red wigdet"), (3, "widget red")], "query_id int, query string")
+    return retrieve.fuzzy_scan(q, table(spark, sf_dir, "part"), text="p_name", threshold=80.0, mode="wratio").select("query_id", "p_partkey", F.round("fuzzy_score", 6).alias("fuzzy_score"))
 
 
 _TERMS = [(1, "the of thon"), (2, "password secret clown"), (3, "und der nicht"), (4, "zzzz qqqq")]
@@ -197,6 +197,44 @@ def dual_storage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compose.dual_storage(*_hits_and_parents(spark, sf_dir))
 
 
+def _scored_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vectors as child chunks of their label; only labels below 5 are in the store."""
+    e = table(spark, sf_dir, "embeddings")
+    children = e.select(F.col("vec_id").alias("id"), F.col("label").alias("parent_id"), F.concat(F.lit("chunk "), F.col("vec_id").cast("string")).alias("content"))
+    parents = e.where("label < 5").select(F.col("label").alias("parent_id"), F.concat(F.lit("label "), F.col("label").cast("string")).alias("parent_content")).distinct()
+    return e, children, parents
+
+
+_SCORED = f"""WITH h AS (SELECT q.vec_id AS query_id, c.vec_id, c.label, {_COS} AS cos, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, c.vec_id) AS rank FROM embeddings c, embeddings q WHERE q.vec_id % 20 = 0),
+c AS (SELECT query_id, rank, vec_id::VARCHAR AS id, label AS parent_id, 'chunk ' || vec_id AS content, {{0}} AS score FROM h WHERE rank <= 6 {{1}}),
+j AS (SELECT *, CASE WHEN parent_id < 5 THEN 'label ' || parent_id END AS up, max(score) OVER (PARTITION BY query_id, parent_id) AS top, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY rank) AS n FROM c), """
+
+
+@query(_SCORED.format("NULL::DOUBLE", "") + "r AS (SELECT query_id, 0 AS section, rank, parent_id::VARCHAR AS id, coalesce(up, content) AS content, CASE WHEN up IS NULL THEN score ELSE top END AS score FROM j WHERE up IS NULL OR n = 1) " + _NUMBERED)
+def scored_similarity_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search, hydration: parents in place of their hits; plain similarity gives no scores."""
+    return scored.retrieve_scored(_query_vectors(spark, sf_dir), *_scored_tables(spark, sf_dir), k=6).withColumn("score", F.round("score", 6))
+
+
+@query(_SCORED.format("least(greatest((1 + cos) / 2, 0), 1)", "AND (1 + cos) / 2 >= 0.6") + "r AS (SELECT query_id, 0 AS section, rank, id, CASE WHEN up IS NULL THEN content ELSE up || chr(10) || chr(10) || '--- MATCHED CHILD CHUNK ---' || chr(10) || chr(10) || content END AS content, score FROM j) " + _NUMBERED)
+def scored_threshold_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search with a least relevance, hits enriched with their parents."""
+    config = scored.Search("similarity_score_threshold", threshold=0.6)
+    return scored.retrieve_scored(_query_vectors(spark, sf_dir), *_scored_tables(spark, sf_dir), config, "children_enriched", k=6).withColumn("score", F.round("score", 6))
+
+
+@query(_SCORED.format("least(greatest((1 + cos) / 2, 0), 1)", "AND (1 + cos) / 2 >= 0.6") + "r AS (SELECT query_id, 0 AS section, rank, id, content, score FROM j UNION ALL SELECT query_id, 1, rank, parent_id::VARCHAR, up, top FROM j WHERE up IS NOT NULL AND n = 1) " + _NUMBERED)
+def scored_threshold_plus_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = scored.Search("similarity_score_threshold", threshold=0.6)
+    return scored.retrieve_scored(_query_vectors(spark, sf_dir), *_scored_tables(spark, sf_dir), config, "children_plus_parents", k=6).withColumn("score", F.round("score", 6))
+
+
+@query()
+def scored_mmr_plus_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diverse hits first, then their parents."""
+    return scored.retrieve_scored(_query_vectors(spark, sf_dir), *_scored_tables(spark, sf_dir), scored.Search("mmr", fetch=20), "children_plus_parents", k=4)
+
+
 @query("""
 WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[A-Za-z0-9\\x{400}-\\x{4FF}]+')) AS t FROM documents),
 q AS (SELECT item_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[A-Za-z0-9\\x{400}-\\x{4FF}]+')), lambda x: NOT list_contains(['a','an','and','are','for','in','is','of','on','or','the','to','what','who','и','в','на','по','с','что','как'], x)) AS q FROM benchmark WHERE item_id % 20 = 0)

@@ -176,10 +176,11 @@ def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", web.render(F.col("html")).alias("markdown"))
 
 
-@query("SELECT count(*) AS pages, 0::BIGINT AS well_formed FROM pages")
+@query(r"SELECT page_id, false AS page_is_xml, '# Page ' || page_id || chr(10) || chr(10) || 'at ' || replace(url, '_', '\_') AS made FROM pages")
 def html_strict_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages").select(web.render(F.col("html"), strict=True).alias("m"))
-    return rows.agg(F.count(F.lit(1)).alias("pages"), F.count("m").alias("well_formed"))
+    """Strict parsing: the pages, none of which is well-formed, and a well-formed one made of each."""
+    made = F.concat(F.lit("<html><body><h1>Page "), F.col("page_id").cast("string"), F.lit("</h1><p>at "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</p></body></html>"))
+    return table(spark, sf_dir, "pages").select("page_id", web.render(F.col("html"), strict=True).isNotNull().alias("page_is_xml"), web.render(made, strict=True).alias("made"))
 
 
 @query()
@@ -194,28 +195,34 @@ def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT page_id, regexp_extract(lower(url), '^[a-z]+://([^/?#:]+)', 1) AS host, trim(regexp_replace(url, '#.*$', '')) AS url,
-regexp_extract(lower(url), '^[a-z]+://([^/?#:]+)', 1) LIKE '%.example.com' AS in_domain FROM pages""")
+regexp_extract(lower(url), '^[a-z]+://([^/?#:]+)', 1) LIKE '%.example.com' AS in_domain,
+regexp_extract(lower(url), '^[a-z]+://([^/?#:]+)', 1) = sh AS same_host, regexp_extract(lower(url), '([^./]+[.][^./:?#]+)(?:[:/?#]|$)', 1) = regexp_extract(sh, '([^.]+[.][^.]+)$', 1) AS same_domain, starts_with(lower(url), 'http') AS anywhere
+FROM pages, (SELECT regexp_extract(lower(min(url)), '^[a-z]+://([^/?#:]+)', 1) AS sh FROM pages)""")
 def url_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
-    return p.select("page_id", T.url_host(F.col("url")).alias("host"), T.normalize_url(F.col("url")).alias("url"), T.in_scope(F.col("url"), F.col("url"), "allowed_domains", ("example.com",)).alias("in_domain"))
+    p = p.crossJoin(F.broadcast(p.agg(F.min("url").alias("start"))))  # one row
+    return p.select("page_id", T.url_host(F.col("url")).alias("host"), T.normalize_url(F.col("url")).alias("url"), *[T.in_scope(F.col("url"), F.col("start"), scope, ("example.com",)).alias(name) for name, scope in (("in_domain", "allowed_domains"), ("same_host", "same_host"), ("same_domain", "same_domain"), ("anywhere", "allow_all"))])
 
 
 @query("""WITH RECURSIVE p AS (SELECT DISTINCT regexp_replace(trim(url), '#.*$', '') AS u, regexp_extract(lower(url), '^[a-z]+://([^/?#:]+)', 1) AS host, min(page_id) OVER (PARTITION BY regexp_replace(trim(url), '#.*$', '')) AS id FROM pages),
-o AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY id, u) AS k FROM p), e AS (SELECT a.u, b.u AS v FROM o a JOIN o b ON a.host = b.host AND b.k IN (2 * a.k, 2 * a.k + 1)),
-r AS (SELECT u AS url, 0 AS depth FROM o WHERE k = 1 UNION SELECT e.v, depth + 1 FROM r JOIN e ON e.u = r.url WHERE depth < 3)
+o AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY id, u) AS k FROM p), e AS (SELECT a.u, b.u AS v, 1 AS cost FROM o a JOIN o b ON a.host = b.host AND b.k IN (2 * a.k, 2 * a.k + 1) UNION ALL SELECT a.u, b.u, 0 FROM o a JOIN o b ON a.host = b.host AND b.k = a.k + 40),
+r AS (SELECT u AS url, 0 AS depth FROM o WHERE k = 1 UNION SELECT e.v, depth + cost FROM r JOIN e ON e.u = r.url WHERE depth + cost <= 3)
 SELECT url, min(depth) AS depth FROM r GROUP BY url""")
 def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over a synthetic web: the k-th page of a host links to those of 2k and 2k + 1."""
+    """Over a synthetic web: the k-th page of a host links to those of 2k and 2k + 1, and its
+    navigation to that of k + 40, at the same depth."""
     from pyspark.sql import Window as W
 
     p = table(spark, sf_dir, "pages").select(T.normalize_url(F.col("url")).alias("u"), T.url_host(F.col("url")).alias("host"), "page_id").groupBy("u", "host").agg(F.min("page_id").alias("id"))
     o = p.withColumn("k", F.row_number().over(W.partitionBy("host").orderBy("id", "u")))
     child = o.select("host", F.col("u").alias("url"), F.col("k").alias("kk"), F.floor(F.col("k") / 2).alias("k"))
     links = o.join(child, ["host", "k"]).select(F.col("u").alias("page_url"), "url", F.lit(False).alias("is_navigation"))
+    beside = o.select("host", F.col("u").alias("url"), (F.col("k") - 40).alias("k"))
+    links = links.unionByName(o.join(beside, ["host", "k"]).select(F.col("u").alias("page_url"), "url", F.lit(True).alias("is_navigation")))
     return web.crawl(o.where("k = 1").select(F.col("u").alias("url")), links, 3).select("url", "depth")
 
 
-@query()
+@query("""SELECT event_id, '## Item 1' || chr(10) || '- k: ' || regexp_extract(props, '"k": ([0-9]+)', 1) AS markdown FROM events""")
 def json_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
