@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from html import escape
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -364,3 +364,51 @@ def profile_urls(html: str, base: str, profile: str, *, attributes: tuple[str, .
             raise ValueError(f"unknown static profile {profile!r}")
     urls = dict.fromkeys(urljoin(base, u.strip()).partition("#")[0] for u in found)
     return [u for u in urls if re.match("https?://", u) and (not include or any(re.search(p, u) for p in include)) and not any(re.search(p, u) for p in exclude)]
+
+
+@dataclass(frozen=True)
+class Profile:
+    """A static link profile and its settings; they are checked when it is made."""
+
+    kind: str = "anchors"
+    attributes: tuple[str, ...] = ("href", "data-href", "data-url")
+    pattern: str = r"""(?:location(?:\.href)?\s*=|open\()\s*['"]([^'"]+)"""
+    include: tuple[str, ...] = ()
+    exclude: tuple[str, ...] = ()
+
+    def __post_init__(self) -> None:
+        if self.kind not in ("anchors", "attributes", "onclick_regex"):
+            raise ValueError(f"unknown static profile {self.kind!r}")
+        if self.kind == "attributes" and not self.attributes:
+            raise ValueError("a profile of attributes needs some")
+        for p in (self.pattern, *self.include, *self.exclude):
+            try:
+                groups = re.compile(p).groups
+            except re.error as e:
+                raise ValueError(f"{p!r} is no regular expression: {e}") from e
+            if p == self.pattern and self.kind == "onclick_regex" and groups < 1:
+                raise ValueError("the pattern needs a group that has the link")
+
+    def urls(self, html: str, base: str) -> list[str]:
+        return profile_urls(html, base, self.kind, attributes=self.attributes, pattern=self.pattern, include=self.include, exclude=self.exclude)
+
+
+#: Ready-made profiles.
+PROFILES = {
+    "links": Profile(),
+    "data_links": Profile("attributes"),
+    "script_links": Profile("onclick_regex"),
+    "documents": Profile(include=(r"(?i)\.(?:pdf|docx?|pptx?|xlsx?|csv|json)(?:\?|$)",)),
+}
+
+
+def profile(name: str, **changes) -> Profile:
+    """A ready-made profile with some settings changed."""
+    if name not in PROFILES:
+        raise ValueError(f"no profile {name!r}")
+    return replace(PROFILES[name], **changes)
+
+
+def composed_urls(html: str, base: str, profiles: list[Profile]) -> list[str]:
+    """What several profiles find, in their order, each URL once."""
+    return list(dict.fromkeys(u for p in profiles for u in p.urls(html, base)))

@@ -20,20 +20,37 @@ def segment_stream(docs: DataFrame, out: str, checkpoint: str, size: int = 200,
     return segments.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def upsert_stream(rows: DataFrame, key: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Rows by key into numbered versions of a table, the last version being the table. A
-    batch that runs again writes the same version again."""
+def upsert_stream(rows: DataFrame, key: str, order: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Rows by key into a log: a micro-batch writes its own rows only, of each key that of the
+    greatest ``order`` (of equal ones that of the greatest hash). A batch that runs again
+    writes the same folder again. ``read_upserts`` is the table, ``compact_upserts`` shortens the log."""
 
     def batch(df: DataFrame, n: int) -> None:
-        new = df.dropDuplicates([key])
-        if n:
-            old = df.sparkSession.read.parquet(f"{out}/v{n - 1}")
-            new = old.join(new.select(key), key, "left_anti").unionByName(new)
-        new.write.mode("overwrite").parquet(f"{out}/v{n}")
+        one = df.groupBy(key).agg(F.max_by(F.struct(*df.columns), F.struct(F.col(order), F.xxhash64(*df.columns))).alias("m")).select("m.*")
+        one.write.mode("overwrite").parquet(f"{out}/batch={n}")
 
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def read_upserts(spark: SparkSession, key: str, out: str) -> DataFrame:
+    """Of each key the row of the latest batch."""
+    log = spark.read.parquet(out)
+    names = [c for c in log.columns if c != "batch"]
+    return log.groupBy(key).agg(F.max_by(F.struct(*names), "batch").alias("m")).select("m.*")
+
+
+def compact_upserts(spark: SparkSession, key: str, out: str) -> None:
+    """All batches as the latest one, written beside the log first."""
+    conf, Path = spark.sparkContext._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    fs = Path(out).getFileSystem(conf)
+    batches = sorted((s.getPath().getName() for s in fs.listStatus(Path(out)) if s.getPath().getName().startswith("batch=")), key=lambda n: int(n[6:]))
+    read_upserts(spark, key, out).write.mode("overwrite").parquet(f"{out}/.compacted")
+    for name in reversed(batches):
+        fs.delete(Path(f"{out}/{name}"), True)
+        if name == batches[-1]:
+            fs.rename(Path(f"{out}/.compacted"), Path(f"{out}/{name}"))
+
+
 def event_counts(events: DataFrame, width: str = "1 day", late: str = "10 minutes") -> DataFrame:
     """Tumbling counts and sums by event type. The event time is cast to a zoned timestamp,
     which watermarks need."""
