@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
-from folioforge.llm.common import batch_of, slices, text_column
+from folioforge.llm.common import Memo, batch_of, in_arrow, slices, text_column
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pre-tokens that a worker remembers; it starts again when they are more.
-CACHE = 400_000
+#: Bytes of pre-tokens that a worker remembers with their ids, about.
+CACHE_BYTES = 24 << 20
 
 
 def byte_table() -> list[str]:
@@ -57,18 +57,18 @@ class Codec:
         self.bytes_of: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             self.bytes_of[r] = t
-        self._ids: dict[str, bytes] = {}
+        self._ids = Memo(CACHE_BYTES)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         pieces = [self._pattern.findall(t) for t in texts]
         known = self._ids
-        if len(known) > CACHE:
-            known.clear()
+        known.trim()
         new = list(set().union(*pieces).difference(known))
         if new:
             found = self._bpe.encode_batch([p.encode().decode("latin-1").translate(self._as_chars) for p in new], add_special_tokens=False)
             known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(new, found, strict=True))
+            known.charge(sum(5 * len(p) for p in new) + 240 * len(new))
         return [b"".join(map(known.__getitem__, p)) for p in pieces]
 
     def decode(self, ids: bytes) -> bytes:
@@ -125,7 +125,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
                     decoded_sha256=[hashlib.sha256(x).hexdigest() for x in back], exact=[x == t.encode() for x, t in zip(back, texts, strict=True)],
                 )
 
-    return text_column(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean")
+    return in_arrow(text_column(docs, "doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean")
 
 
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
@@ -143,7 +143,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                 spans = [coder.offsets(x) for x in ids]
                 yield batch_of(_IDS, doc_id=part.column(0), ids=[np.frombuffer(x, "<u4").astype(np.int32) for x in ids], starts=[[s for s, _ in x] for x in spans], ends=[[e for _, e in x] for x in spans])
 
-    return text_column(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
+    return in_arrow(text_column(docs, "doc_id", "text"), run, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
 
 
 def decode(rows: DataFrame, path: str | None = None, errors: str = "replace") -> DataFrame:
@@ -158,4 +158,4 @@ def decode(rows: DataFrame, path: str | None = None, errors: str = "replace") ->
             texts = [None if x is None else b"".join(coder.bytes_of[i] for i in x).decode("utf-8", errors) for x in batch.column(1).to_pylist()]
             yield batch_of(out, doc_id=batch.column(0), text=texts)
 
-    return rows.select("doc_id", F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return in_arrow(rows.select("doc_id", F.col("ids").cast("array<int>").alias("ids")), run, "doc_id long, text string")

@@ -27,18 +27,21 @@ IS_SPACE, IS_WORD = _space, _alnum
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_SHORT = 1 << 12
+
+
+def _series(base: np.uint64, n: int) -> np.ndarray:
+    a = np.full(n, base, np.uint64)
+    a[0] = 1
+    return np.multiply.accumulate(a)
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n."""
-    if len(_powers["up"]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        for key, base in (("up", _BASE), ("down", _BASE_INV)):
-            a = np.full(size, base, np.uint64)
-            a[0] = 1
-            _powers[key] = np.multiply.accumulate(a)
-    return _powers["up"][:n], _powers["down"][:n]
+    """BASE**i and BASE**-i for i < n, made anew each time: a long text's would stay for good."""
+    return tuple(
+        (_series(np.multiply.accumulate(np.full(_SHORT, base, np.uint64))[-1], -(-n // _SHORT))[:, None] * _series(base, _SHORT)).reshape(-1)[:n]
+        for base in (_BASE, _BASE_INV)
+    )
 
 
 def mix(x: np.ndarray) -> np.ndarray:
