@@ -38,9 +38,19 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def made_since(n: int | None = None) -> int | list[str]:
+    """How many paths ``scratch`` gave so far; with such a number, the paths given since. What a lazy result still reads may only be deleted once that has been written elsewhere."""
+    return len(_made) if n is None else _made[n:]
 
 
 def discard(spark: SparkSession, *paths: str) -> None:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import batch_of, in_arrow, discard, materialize, slices, text_column
+from folioforge.llm.common import batch_of, discard, in_arrow, made_since, materialize, slices, text_column
 from folioforge.llm.components import components
 from folioforge.llm.wordscan import mix, scan, shingles
 
@@ -160,22 +160,21 @@ def near_duplicates(docs: DataFrame, params: MinMaxParams = MinMaxParams()) -> D
     have any further columns; they are not read. Tables of single steps are deleted before
     it returns, so that only the result stays in the shared folder.
     """
-    spark = docs.sparkSession
-    signed, signed_path = materialize(sign(docs, params), "signed")
-    classes, classes_path = materialize(
+    spark, before = docs.sparkSession, made_since()
+    signed, _ = materialize(sign(docs, params), "signed")
+    classes, _ = materialize(
         signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "sets"
     )
     members = classes.select("rep", "n", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
-    members, members_path = materialize(members.join(shared, "bucket"), "buckets")
-    texts, texts_path = materialize(
+    members, _ = materialize(members.join(shared, "bucket"), "buckets")
+    texts, _ = materialize(
         text_column(docs, "doc_id", "text").where("text is not null").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"),
         "texts",
     )
     links = None
     tested = None
     hubs = 1
-    paths = [signed_path, classes_path, members_path, texts_path]
     left = members.select("bucket", "rep", "n", F.col("rep").alias("comp"))
     while True:
         pick = F.pmod(F.xxhash64("rep"), F.lit(hubs))
@@ -189,19 +188,16 @@ def near_duplicates(docs: DataFrame, params: MinMaxParams = MinMaxParams()) -> D
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         new = _test(pairs, texts, params)
-        new, path = materialize(new, "tested")
-        paths.append(path)
+        new, _ = materialize(new, "tested")
         tested = new.select("a", "b") if tested is None else tested.unionByName(new.select("a", "b"))
         found = new.where("linked").select("a", "b")
         links = found if links is None else links.unionByName(found)
-        comp, path = materialize(components(links), "components")
-        paths.append(path)
+        comp, _ = materialize(components(links), "components")
         # on to the members that were no hub, in buckets of several components
         rest = left.join(heads.select("bucket", F.col("hub.rep").alias("rep")), ["bucket", "rep"], "left_anti").drop("comp")
         rest = rest.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("comp"))
         mixed = rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-        left, path = materialize(rest.join(mixed, "bucket", "left_semi"), "rest")
-        paths.append(path)
+        left, _ = materialize(rest.join(mixed, "bucket", "left_semi"), "rest")
         if left.isEmpty():
             break
         hubs = hubs * 8
@@ -209,8 +205,8 @@ def near_duplicates(docs: DataFrame, params: MinMaxParams = MinMaxParams()) -> D
     owner = same.join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"])
     whole = owner.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     none = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"))
-    result, _ = materialize(whole.unionByName(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-duplicates")
-    discard(spark, *paths)
+    result, result_path = materialize(whole.unionByName(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-duplicates")
+    discard(spark, *[p for p in made_since(before) if p != result_path])
     return result
 
 
