@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+import os
 import random
 import re
 import time
@@ -21,7 +22,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from folioforge.llm import bbpe, decontam, lang_id, minhash, quality, queries, secrets, style_tree, token_cache, toxicity, warc, wordscan
+from folioforge.llm import bbpe, common, decontam, lang_id, minhash, quality, queries, secrets, style_tree, token_cache, toxicity, warc, wordscan
 from folioforge.llm.common import slices
 from folioforge.llm.components import components
 
@@ -34,7 +35,7 @@ def lower(t):
 
 
 def frame(spark, texts, **more):
-    """Odd rows with clashing names, a null id and repeated rows."""
+    """Rows with clashing column names; ``test_odd_ids`` has null and repeated ids."""
     rows = [(i, t, "en", f"src{i % 2}", len(t or ""), "other") for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string")
 
@@ -716,6 +717,50 @@ def test_secret_scan(spark):
     assert secrets.scan_secrets(empty(spark), scanner).count() == 0
 
 
+# --- rows that every operator must survive ---
+
+
+def odd_ids(spark):
+    """A null id, repeated rows, an id with two texts, a null text; clashing names of columns."""
+    rows = [(None, "one two three four"), (7, "one two three four"), (7, "one two three four"), (7, "other words"), (8, None), (9, "password=abcdef1")]
+    return spark.createDataFrame([(i, t, "x", "x", "x", 1) for i, t in rows], "doc_id long, text string, score string, kept string, component_id string, n_words int"), rows
+
+
+def test_odd_ids(spark):
+    docs, rows = odd_ids(spark)
+    same = lambda found, want: sorted(found, key=repr) == sorted(want, key=repr)
+    words = lambda t: len((t or "").split())
+    assert same([(r.doc_id, r.n_words) for r in quality.ledger(docs).collect()], [(i, words(t)) for i, t in rows])
+    assert same([(r.doc_id, r.n_tokens) for r in bbpe.round_trip(docs).collect()], [(i, len(reference().encode_ordinary(t or ""))) for i, t in rows])
+    scanner = secrets.train(docs)
+    assert same([(r.doc_id, r.n_assign) for r in secrets.scan_secrets(docs, scanner).collect()], [(i, int("=" in (t or ""))) for i, t in rows])
+    assert same([(r.doc_id, r.text) for r in secrets.redact(docs, scanner).collect()], [(i, "[ASSIGN]" if "=" in (t or "") else t) for i, t in rows])
+    found = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs, minhash.MinMaxParams(k=3, percent=85)).collect()]
+    assert same(found, [(None, 2, None, True), (7, 2, 7, True), (7, 2, 7, True), (7, 1, 7, True), (8, 0, 8, True), (9, 1, 9, True)])
+    assert minhash.keep_one(docs).columns == docs.columns and minhash.keep_one(docs).count() == len(rows)
+    items = spark.createDataFrame([(1, "one two three four"), (1, "nothing like it here"), (None, "other words"), (2, None)], "item_id long, text string")
+    got = [(r.doc_id, r.item_id) for r in decontam.contamination(docs, items).collect()]
+    assert got in ([], [(7, 1)])  # of equal item_ids one stands
+
+
+def test_odd_pages(spark):
+    rows = [(1, "http://h/", "<p>a</p>"), (1, "http://h/", "<p>a</p>"), (1, None, "<p>b</p>"), (None, "http://h/", "<p>c</p>"), (2, "http://h/", None)]
+    pages = spark.createDataFrame([(*r, "x", "x") for r in rows], "page_id long, url string, html string, text string, low string")
+    found = [(r.page_id, r.url, r.text) for r in style_tree.extract(pages).collect()]
+    assert sorted(found, key=repr) == sorted([(1, "http://h/", "a"), (1, "http://h/", "a"), (1, None, "b"), (None, "http://h/", "c"), (2, "http://h/", "")], key=repr)
+    shared = style_tree.extract(pages, style_tree.StyleParams(shared=-1))
+    assert sorted([(r.page_id, r.url, r.text) for r in shared.collect()], key=repr) == sorted(found, key=repr)
+
+
+def test_results_leave_only_themselves(spark):
+    """The tables of an operator's steps are deleted."""
+    docs, _ = odd_ids(spark)
+    before = common.made_since()
+    minhash.near_duplicates(docs).count()
+    left = [p for p in common.made_since(before) if os.path.exists(p.removeprefix("file://"))]
+    assert len(left) == 1
+
+
 # --- queries ---
 
 
