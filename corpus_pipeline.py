@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm import bbpe, decontam, minhash, secrets, toxicity
-from folioforge.llm.common import discard, materialize, table
+from folioforge.llm.common import discard, made_since, materialize, table
 from folioforge.llm.queries import held_out
 
 
@@ -65,8 +65,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs, path = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
+        before = made_since()
         docs, new = materialize(stage(spark, docs, sf_dir), name)
-        if path:
-            discard(spark, path)
+        # what the stage's steps wrote isn't needed once its rows are
+        discard(spark, *[p for p in made_since(before) if p != new], *([path] if path else []))
         path = new
     return docs
