@@ -44,7 +44,9 @@ def regex_split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.emit(docs, split.regex_split(F.col("text"), "\n"), "regex", starts=False).select("doc_id", "chunk_index", "chunk_total", "content", "segment_id")
 
 
-@query(f"WITH {_LINES} SELECT doc_id, chunk_index, CASE WHEN chunk_index = 0 THEN 0 ELSE list_sum(list_transform(c[1:chunk_index], lambda x: length(x) + 1)) END::BIGINT AS start_index FROM e")
+@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS c FROM documents WHERE text IS NOT NULL), e AS (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM l),
+s AS (SELECT doc_id, i, c[i] AS x, CASE WHEN i = 1 THEN 0 ELSE list_sum(list_transform(c[1:i - 1], lambda y: length(y) + 1)) END AS pos FROM e)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_index, pos::BIGINT AS start_index FROM s WHERE x <> ''""")
 def split_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return split.emit(docs, split.regex_split(F.col("text"), "\n"), "regex").select("doc_id", "chunk_index", "start_index")
