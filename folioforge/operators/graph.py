@@ -100,16 +100,37 @@ def search_nodes_hybrid(queries: DataFrame, nodes: DataFrame, priors: DataFrame,
     node = nodes.join(priors.select("id", "prior"), "id", "left").withColumn("_text", text).withColumn("_t", tokens(F.col("_text")))
     lex = lexical_score_tokens(F.col("query"), F.col("_q"), F.col("_text"), F.col("_t"))
     emb = _vector_score(nodes, queries)
-    scored = _pairs(queries, node).withColumn("_lex", lex).withColumn("_emb", emb)
+    scored = _pairs(queries, node, "id").withColumn("_lex", lex).withColumn("_emb", emb)
     prior = F.coalesce("prior", F.lit(0.0))
     score = F.when(_blank(F.col("query")), 0.15 * prior).otherwise(0.65 * F.col("_lex") + 0.20 * F.col("_emb") + 0.15 * prior)
     kept = scored.where(_blank(F.col("query")) | (F.col("_lex") > 0) | (F.col("_emb") > 0)).withColumn("score", F.least(F.lit(1.0), score)).where("score > 0")
     return _best(kept.select("query_id", "id", "score"), k, F.desc("score"), "id")
 
 
-def _pairs(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """A stated set of queries with all rows, a block of queries a pass."""
-    return in_blocks(queries, lambda q: rows.join(q.withColumn("_q", tokens(F.col("query"))).withColumnsRenamed({"embedding": "_qv"}), F.lit(True)))
+def _grams(t: Column) -> Column:
+    """What tokens are sought by: short ones as they are, long ones by their runs of four characters."""
+    return F.array_distinct(F.flatten(F.transform(t, lambda x: F.when(F.length(x) < 4, F.array(x)).otherwise(F.transform(F.sequence(F.lit(1), F.length(x) - 3), lambda i: F.substring(x, i, 4))))))
+
+
+def _pairs(queries: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """A stated set of queries with the rows that can have evidence for them, a block of queries a pass.
+
+    Whatever a lexical score counts (a shared token, one token in another, equal beginnings, the query
+    as a whole in the text) has a run of four characters in common, or a short token. So
+    rows meet queries by an inverted index over these; only queries that are blank or of short tokens
+    alone, and those with a vector that rows have as well, are held against all rows."""
+    vectors = "embedding" in rows.columns and "embedding" in queries.columns
+
+    def search(q: DataFrame) -> DataFrame:
+        asked = q.withColumn("_q", tokens(F.col("query"))).withColumnsRenamed({"embedding": "_qv"})
+        if vectors:
+            return rows.join(asked, F.lit(True))
+        sought = F.exists("_q", lambda x: F.length(x) >= 4)
+        grams = asked.where(sought).select("*", F.explode(_grams(F.col("_q"))).alias("_k"))
+        found = rows.withColumn("_k", F.explode(_grams(F.col("_t")))).join(F.broadcast(grams), "_k").drop("_k").dropDuplicates(["query_id", key])
+        return found.unionByName(rows.join(F.broadcast(asked.where(~sought)), F.lit(True)))
+
+    return in_blocks(queries, search)
 
 
 def _vector_score(rows: DataFrame, queries: DataFrame) -> Column:
@@ -131,7 +152,7 @@ def search_edges_hybrid(queries: DataFrame, nodes: DataFrame, edges: DataFrame,
     e = e.withColumn("_text", F.concat_ws(" ", F.coalesce("_a", "source_id"), "relation_type", F.coalesce("_b", "target_id"))).withColumn("_t", tokens(F.col("_text")))
     lex = lexical_score_tokens(F.col("query"), F.col("_q"), F.col("_text"), F.col("_t"))
     ends = (F.coalesce("_pa", F.lit(0.0)) + F.coalesce("_pb", F.lit(0.0))) / 2
-    scored = _pairs(queries, e).withColumn("_lex", lex).withColumn("_emb", _vector_score(edges, queries)).where(_blank(F.col("query")) | (F.col("_lex") > 0) | (F.col("_emb") > 0))
+    scored = _pairs(queries, e, "edge_id").withColumn("_lex", lex).withColumn("_emb", _vector_score(edges, queries)).where(_blank(F.col("query")) | (F.col("_lex") > 0) | (F.col("_emb") > 0))
     score = F.when(_blank(F.col("query")), 0.6 * F.col("prior") + 0.4 * ends).otherwise(0.55 * F.col("_lex") + 0.20 * F.col("_emb") + 0.15 * F.col("prior") + 0.10 * ends)
     kept = scored.withColumn("score", F.least(F.lit(1.0), score)).where("score > 0")
     return _best(kept.select("query_id", "edge_id", "source_id", "target_id", "relation_type", "weight", "source_segment_id", "score"), k, F.desc("score"), "edge_id", "source_id", "target_id")
