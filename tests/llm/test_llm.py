@@ -321,6 +321,26 @@ def test_language(spark):
     assert lang_id.identify(frame(spark, texts), none).head().lang_pred == "und"
 
 
+def test_language_against_brute_force(spark):
+    """The query's rows, word by word and segmentation by segmentation."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = lang_id.train(docs.where(~queries.held_out()))
+    got = {r.doc_id: r for r in queries.op1_language_id(spark, "/root/testdata/sf0.001").collect()}
+    known, score = [{} for _ in model.langs], {}
+    for r in docs.collect():
+        words = [w for w in re.findall(r"[^\W\d_]+", (r.text or "").lower()) if w.isalpha()]
+        for w in set(words) - set(score):
+            score[w] = np.log([brute_forward("▁" + w, model.ids, model.prob[:, k], known[k]) for k in range(len(model.langs))])
+        if not words:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        total = sum(score[w] for w in words)
+        best = int(np.argmax(total))
+        assert got[r.doc_id].lang_pred == model.langs[best]
+        assert got[r.doc_id].score == pytest.approx(1 / np.exp(np.maximum(total - total[best], -700)).sum(), abs=1e-6)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 def test_language_held_out(spark):
     rows = queries.op1_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
     assert sum(r.lang_pred == r.lang for r in rows) / len(rows) > 0.95
