@@ -412,3 +412,44 @@ def profile(name: str, **changes) -> Profile:
 def composed_urls(html: str, base: str, profiles: list[Profile]) -> list[str]:
     """What several profiles find, in their order, each URL once."""
     return list(dict.fromkeys(u for p in profiles for u in p.urls(html, base)))
+
+
+@dataclass(frozen=True)
+class Navigation:
+    """What marks the element that leads on: words of its class (or of one around it), parts of a style, its
+    whole text; and texts that say forward or back."""
+
+    classes: tuple[str, ...] = ()
+    styles: tuple[str, ...] = ()
+    texts: tuple[str, ...] = ()
+    forward: tuple[str, ...] = ("next",)
+    backward: tuple[str, ...] = ("previous", "prev", "back")
+    tags: tuple[str, ...] = ("a", "button")
+
+
+def next_candidates(html: str, base: str, marks: Navigation) -> list[dict]:
+    """Elements that may lead to the next state of a page, best first: 10 for a class or a style, 20 for the text, 100 for
+    (or against) a text that says forward (or back), 80 for ``rel`` next, 60 for (or against) a label of next (or
+    previous), 5 for a link. Of equal scores the shorter text, then the earlier element, comes first. Hidden and disabled
+    elements are none. Clicking, and what a script makes visible, is up to a browser."""
+    out = []
+    forward, backward = ({squash(t).lower() for t in x} for x in (marks.forward, marks.backward))
+
+    def enter(e: Element, by_class: bool, by_style: bool, hidden: bool) -> None:
+        by_class = by_class or has_rule(e, list(marks.classes))
+        by_style = by_style or bool(marks.styles) and has_style(e, list(marks.styles))
+        hidden = hidden or "hidden" in e.attrs or has_style(e, ["display:none", "visibility:hidden", "pointer-events:none"])
+        if e.tag in marks.tags and not hidden and "disabled" not in e.attrs and e.attrs.get("aria-disabled") != "true":
+            label, href = e.attrs.get("aria-label", "").lower(), e.attrs.get("href", "").strip()
+            text = squash(e.text() or e.attrs.get("aria-label", ""))
+            by_text = text in {squash(t) for t in marks.texts}
+            if by_class or by_style or by_text:
+                score = 10 * by_class + 10 * by_style + 20 * by_text + 100 * (text.lower() in forward) - 100 * (text.lower() in backward)
+                score += 80 * ("next" in e.attrs.get("rel", "").lower()) + 60 * ("next" in label) - 60 * ("prev" in label) + 5 * bool(href)
+                out.append({"text": text, "url": urljoin(base, href) if href else None, "score": score})
+        for c in e.children:
+            if isinstance(c, Element):
+                enter(c, by_class, by_style, hidden)
+
+    enter(parse(html), False, False, False)
+    return sorted(out, key=lambda x: (-x["score"], len(x["text"])))

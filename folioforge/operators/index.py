@@ -54,8 +54,9 @@ def index(segments: DataFrame, embedder: Embedder, vectors_path: str, store_path
 
 
 def upsert(stored: DataFrame, new: DataFrame, key: str = "segment_id") -> DataFrame:
-    """New rows replace stored ones of the same key; of equal new keys one stands."""
-    return stored.join(new.select(key), key, "left_anti").unionByName(new.dropDuplicates([key]))
+    """New rows replace stored ones of the same key; of equal new keys the row of the greatest hash stands."""
+    one = new.groupBy(key).agg(F.max_by(F.struct(*new.columns), F.xxhash64(F.to_json(F.struct(*new.columns)))).alias("_m")).select("_m.*")
+    return stored.join(new.select(key), key, "left_anti").unionByName(one)
 
 
 def get(stored: DataFrame, keys: DataFrame, key: str = "segment_id") -> DataFrame:

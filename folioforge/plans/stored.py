@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.functions import html_dom
 from folioforge.functions import tables as md
 from folioforge.functions import text as T
 from folioforge.operators import graph, index, models, split
@@ -210,6 +211,23 @@ def download_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", T.download_kind(F.col("u"), F.col("ctype"), F.col("disposition")).alias("kind"), T.needs_login(F.col("u"), F.col("status")).alias("login"))
 
 
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 2 THEN 'More' ELSE 'Next' END AS label, regexp_extract(url, '^(https?://[^/?#]+)', 1) || CASE WHEN page_id % 3 = 2 THEN '/m' ELSE '/' || (page_id + 1) END AS next_url,
+CASE page_id % 3 WHEN 0 THEN 195 WHEN 1 THEN 115 ELSE 35 END AS score FROM pages""")
+def next_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The link of a pager that leads on, among ones that lead back, are hidden or disabled."""
+    marks = html_dom.Navigation(classes=("pager",), texts=("More",))
+
+    @F.pandas_udf("struct<label:string,next_url:string,score:int>")
+    def run(html: pd.Series, url: pd.Series) -> pd.DataFrame:
+        best = [html_dom.next_candidates(h, u, marks)[0] for h, u in zip(html, url, strict=True)]
+        return pd.DataFrame({"label": [b["text"] for b in best], "next_url": [b["url"] for b in best], "score": [b["score"] for b in best]})
+
+    k, page = F.col("page_id") % 3, (F.col("page_id") + 1).cast("string")
+    on = F.when(k == 0, F.concat(F.lit('<a rel="next" href="/'), page, F.lit('">Next</a>'))).when(k == 1, F.concat(F.lit('<a href="/'), page, F.lit('">Next</a>'))).otherwise(F.lit('<a href="/m">More</a>'))
+    html = F.concat(F.lit('<div class="x pager"><a rel="prev" href="/p">Back</a>'), on, F.lit('<a style="display: none" rel="next" href="/h">Next</a><button disabled aria-label="next">&gt;</button></div><a rel="next" href="/o">Next</a>'))
+    return table(spark, sf_dir, "pages").select("page_id", run(html, F.col("url")).alias("b")).select("page_id", "b.*")
+
+
 # --- streams ----------------------------------------------------------------------------------
 
 
