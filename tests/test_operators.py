@@ -71,6 +71,16 @@ def test_communities(spark):
     assert found == [["a", "b", "c"], ["x", "y", "z"]]
 
 
+def test_label_propagation(spark):
+    """Large components: two cliques and a bridge; a star, whose two sides would swap labels for ever."""
+    ring = [(f"{g}{i}", f"{g}{j}") for g in "ab" for i in range(6) for j in range(i)] + [("a0", "b0")]
+    by = {r.id: r.community for r in communities.label_propagation(_edges(spark, ring)).collect()}
+    assert len({by[f"a{i}"] for i in range(6)}) == len({by[f"b{i}"] for i in range(6)}) == 1
+    assert communities.label_propagation(_edges(spark, [("s", f"l{i}") for i in range(4)])).count() == 5
+    found = communities.detect(_edges(spark, ring), most=5)
+    assert {r.id for r in found.collect()} == set(by)
+
+
 def test_budget_passes_over(spark):
     rows = spark.createDataFrame([(1, i, " ".join(["w"] * n)) for i, n in enumerate((4, 40, 4))], "query_id int, i int, content string")
     got = graph_retriever.pick_budget(rows, 10, ["i"]).collect()
