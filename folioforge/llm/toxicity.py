@@ -15,32 +15,38 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import Memo, batch_of, discard, in_arrow, materialize, slices
+from folioforge.llm.common import Memo, batch_of, discard, in_arrow, materialize, release, slices
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Bytes of words that a worker remembers with their features, about.
 CACHE_BYTES = 24 << 20
+#: Blocks that a query looks at first, for a bound on the others.
+FIRST = 8
 
 
 @dataclass(frozen=True)
 class ToxicityParams:
     """``docs``: labelled documents of either class that are learned from at most (those
     of least hash); ``calibrate``: how many of either class the vote is calibrated with. Every
-    word of theirs is a feature; a beginning of words is one if the chi-square of its
-    correlation with the label is ``chi2`` or more. ``k`` neighbours vote; ``prior`` is the weight
+    word that ``least`` examples have is a feature; a beginning of words is one if the chi-square of its
+    correlation with the label is ``chi2`` or more, too. ``k`` neighbours vote; ``prior`` is the weight
     of the base rate among the votes; ``block`` is how many examples share a block."""
 
     docs: int = 1500
     calibrate: int = 300
+    least: int = 2
     chi2: float = 30.0
     k: int = 15
     prior: float = 0.25
@@ -89,7 +95,8 @@ class Relevance:
 class Index:
     """Examples as postings. Feature f's entries (one a block) are ``first[f]`` to ``first[f + 1]``; entry e
     stands for block ``block_of[e]``, whose greatest weight of f is ``most[e]``, and owns the postings
-    ``start[e]`` to ``start[e + 1]``: an example's place and its weight. All is bounded by
+    ``start[e]`` to ``start[e + 1]``: an example's place and its weight. Features that a twentieth of the
+    examples have keep theirs as rows of ``dense`` (``row_of``, else -1), cut into the same blocks. All is bounded by
     the sample. ``share`` is how many of an example's documents are toxic; equal texts are one example."""
 
     words: dict[str, int]
@@ -108,50 +115,88 @@ class Index:
     slope: float = 1.0
     shift: float = 0.0
     params: ToxicityParams = field(default_factory=ToxicityParams)
+    row_of: np.ndarray | None = None
+    dense: np.ndarray | None = None
     _known: Memo = field(default_factory=lambda: Memo(CACHE_BYTES))
 
     @classmethod
-    def build(cls, rows: list[tuple[int, int, dict[str, int]]], sizes: dict[int, int], params: ToxicityParams = ToxicityParams()) -> Index:
-        """``rows``: an example's id, label and word counts; ``sizes``: the labelled documents of each class."""
+    def build(cls, rows: Iterable[tuple[int, int, dict[str, int]]], sizes: dict[int, int], params: ToxicityParams = ToxicityParams()) -> Index:
+        """``rows``: an example's id, label and word counts; ``sizes``: the labelled documents of each class.
+        Rows may come in any order, one at a time."""
         total = sum(sizes.values())
         pi = (sizes.get(1, 0) + 0.5) / (total + 1)
-        groups: dict[frozenset, list] = {}
-        for doc_id, toxic, counts in sorted(rows, key=lambda r: r[0]):
-            groups.setdefault(frozenset(counts.items()), [counts, doc_id, 0, 0])[3 - toxic] += 1
-        scale = {1: sizes.get(1, 0) / max(1, sum(t for _, t, _ in rows)), 0: sizes.get(0, 0) / max(1, sum(1 - t for _, t, _ in rows))}
-        bare = groups.pop(frozenset(), [{}, 0, 0, 0])
-        bare = bare[2] * scale[1], bare[3] * scale[0]
+        seen: dict[str, int] = {}
+        groups: dict[bytes, list] = {}  # distinct texts: words, counts, least id, toxic, clean
+        labels = [0, 0]
+        for doc_id, toxic, counts in rows:
+            own = np.fromiter((seen.setdefault(w, len(seen)) for w in counts), np.int32, len(counts))
+            order = np.argsort(own)
+            own, n = own[order], np.fromiter(counts.values(), np.int32, len(counts))[order]
+            entry = groups.setdefault(own.tobytes() + n.tobytes(), [own, n, doc_id, 0, 0])
+            entry[2] = min(entry[2], doc_id)
+            entry[4 - toxic] += 1
+            labels[toxic] += 1
+        bare = groups.pop(b"", [None, None, 0, 0, 0])
+        bare = [bare[3] * sizes.get(1, 0) / max(1, labels[1]), bare[4] * sizes.get(0, 0) / max(1, labels[0])]
         empty = (bare[0] + pi) / (sum(bare) + 1)
-        examples = list(groups.values())
-        yes, no = np.array([e[2] for e in examples], float), np.array([e[3] for e in examples], float)
+        examples = sorted(groups.values(), key=lambda e: e[2])
+        yes, no = np.array([e[3] for e in examples], float), np.array([e[4] for e in examples], float)
         n1, n0 = yes.sum(), no.sum()
         if not n1 or not n0:
             none, zero = np.zeros(0), np.zeros(0, np.int64)
-            return cls({}, {}, none, np.zeros(1, np.int64), zero, none, np.zeros(1, np.int64), zero, none, none, [], pi, pi, params=params)
-
-        words = {w: i for i, w in enumerate(sorted(set().union(*(e[0] for e in examples))))}
-        names = sorted({s for w in words for s in stems_of(w)})
-        number = {s: len(words) + i for i, s in enumerate(names)}
-        below = [[i, *(number[s] for s in stems_of(w))] for w, i in words.items()]
-        wide = np.array([len(x) for x in below])
-        flat, at = np.array([f for x in below for f in x]), np.concatenate([[0], np.cumsum(wide)])
-        # (example, feature, count) of all words and beginnings
-        word = np.array([words[w] for e in examples for w in e[0]])
-        count = np.array([n for e in examples for n in e[0].values()], float)
-        doc = np.repeat(np.arange(len(examples)), [len(e[0]) for e in examples])
-        doc, count, feature = np.repeat(doc, wide[word]), np.repeat(count, wide[word]), flat[_ranges(at[word], wide[word])]
-        n_all = len(words) + len(names)
-        pair, inverse = np.unique(doc * n_all + feature, return_inverse=True)
-        doc, feature, count = pair // n_all, pair % n_all, np.bincount(inverse, count)
-        found = Relevance(np.bincount(feature, yes[doc], n_all), np.bincount(feature, no[doc], n_all), n1, n0, pi)
+            return cls({}, {}, none, np.zeros(1, np.int64), zero, none, np.zeros(1, np.int64), zero, none, none, [], pi, pi, params=params, row_of=zero, dense=np.zeros((0, 0, params.block), np.float32))
+
+        words = {w: i for i, w in enumerate(sorted(seen))}  # the same in whatever order the rows came
+        moved = np.empty(len(words), np.int32)
+        for w, i in seen.items():
+            moved[i] = words[w]
+        hashes, wide = array("Q"), np.empty(len(words), np.int64)
+        for w, i in words.items():
+            below = stems_of(w)
+            wide[i] = len(below) + 1
+            hashes.extend(map(xxhash.xxh64_intdigest, below))
+        hashes, stem = np.unique(np.frombuffer(hashes, np.uint64), return_inverse=True)
+        # word i's features: itself, and its beginnings behind all words
+        first_of = np.concatenate([[0], np.cumsum(wide)])
+        flat = np.empty(first_of[-1], np.int32)
+        flat[first_of[:-1]] = np.arange(len(words))
+        rest = np.ones(len(flat), bool)
+        rest[first_of[:-1]] = False
+        flat[rest] = stem + len(words)
+        n_all = len(words) + len(hashes)
+
+        def triples(low: int, high: int, keep: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Example, feature and count of the examples from ``low`` to ``high``."""
+            part = examples[low:high]
+            word, n = moved[np.concatenate([e[0] for e in part])], np.concatenate([e[1] for e in part])
+            doc = np.repeat(np.arange(low, low + len(part)), [len(e[0]) for e in part])
+            feature = flat[_ranges(first_of[word], wide[word])]
+            doc, n = np.repeat(doc, wide[word]), np.repeat(n, wide[word])
+            if keep is not None:
+                ok = keep[feature]
+                doc, n, feature = doc[ok], n[ok], feature[ok]
+            pair, inverse = np.unique(doc.astype(np.int64) * n_all + feature, return_inverse=True)
+            return pair // n_all, pair % n_all, np.bincount(inverse, n, len(pair))
+
+        step = 128  # examples at a time: their beginnings of words are many
+        found = Relevance(np.zeros(n_all), np.zeros(n_all), n1, n0, pi)
+        for low in range(0, len(examples), step):
+            doc, feature, _ = triples(low, low + step, None)
+            found.a += np.bincount(feature, yes[doc], n_all)
+            found.b += np.bincount(feature, no[doc], n_all)
         keep = np.arange(n_all) < len(words)
         keep |= found.chi2() >= params.chi2
+        keep &= found.a + found.b >= params.least
         to = np.cumsum(keep) - 1
-        ok = keep[feature]
-        doc, feature, tf = doc[ok], to[feature[ok]], 1 + np.log(count[ok])
+        parts = [triples(low, low + step, keep) for low in range(0, len(examples), step)]
+        doc, feature, tf = (np.concatenate([x[i] for x in parts]) for i in range(3))
+        feature, tf = to[feature], 1 + np.log(tf)
         found = Relevance(found.a[keep], found.b[keep], n1, n0, pi)
         weight = found.weights()
-        stems = {s: int(to[i]) for s, i in number.items() if keep[i]}
+        spelled = list(words)
+        kept = dict(zip(hashes[keep[len(words) :]].tolist(), to[len(words) :][keep[len(words) :]].tolist(), strict=True))
+        words = {w: int(to[i]) for w, i in words.items() if keep[i]}
+        stems = {x: kept[h] for w in spelled for x in stems_of(w) if (h := xxhash.xxh64_intdigest(x)) in kept} if kept else {}
 
         # like examples share blocks: in order of their strongest features
         x = tf * weight[feature]
@@ -162,8 +207,8 @@ class Index:
         place_of[placed] = np.arange(len(examples))
         norm = np.sqrt(np.bincount(doc, x * x, len(examples)))
         index = cls._of_postings(words, stems, weight, feature, place_of[doc], x / np.maximum(norm[doc], 1e-12), params)
-        index.share, index.ids, index.base, index.empty = (yes / (yes + no))[placed], [examples[i][1] for i in placed], n1 / (n1 + n0), empty
-        index._calibrate(found, [(place_of[i], examples[i][0], examples[i][2], examples[i][3]) for i in range(len(examples))], sizes)
+        index.share, index.ids, index.base, index.empty = (yes / (yes + no))[placed], [examples[i][2] for i in placed], n1 / (n1 + n0), empty
+        index._calibrate(found, [(place_of[i], lambda e=e: {spelled[moved[w]]: n for w, n in zip(e[0].tolist(), e[1].tolist(), strict=True)}, e[3], e[4]) for i, e in enumerate(examples)], sizes)
         return index
 
     @classmethod
@@ -176,25 +221,33 @@ class Index:
         at = np.flatnonzero(new)
         most = np.maximum.reduceat(value, at) if len(at) else value
         first = np.searchsorted(feature[at], np.arange(len(weight) + 1))
-        return cls(words, stems, weight, first, block[at], most, np.append(at, len(place)), place, value, np.zeros(0), [], 0.5, 0.5, params=params)
+        start, count = np.append(at, len(place)), np.bincount(feature, minlength=len(weight))
+        size = params.block * (int(block.max()) + 1 if len(block) else 0)
+        long = np.flatnonzero(count >= max(params.block, size / 20))
+        row_of = np.full(len(weight), -1, np.int32)
+        row_of[long] = np.arange(len(long))
+        dense = np.zeros((len(long), size), np.float32)
+        own = row_of[feature] >= 0
+        dense[row_of[feature[own]], place[own]] = value[own]
+        return cls(words, stems, weight, first, block[at], most, start, place, value, np.zeros(0), [], 0.5, 0.5, params=params, row_of=row_of, dense=dense.reshape(len(long), size // params.block, params.block))
 
     def features(self, counts: dict[str, int], weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The text's features and their weights, a vector of length 1 (or no feature)."""
-        known, ids, tf = self._known, [], []
+        known = self._known
         known.trim()
-        for w, n in counts.items():
-            own = known.get(w)
-            if own is None:
-                own = tuple(self.stems[s] for s in stems_of(w) if s in self.stems)
-                if w in self.words:
-                    own += (self.words[w],)
-                known[w] = own
-                known.charge(len(w) + 170 + 8 * len(own))
-            if own:
-                ids += own
-                tf += [n] * len(own)
+        hits = list(map(known.get, counts))
+        if None in hits:
+            for i, w in enumerate(counts):
+                if hits[i] is None:
+                    own = tuple(self.stems[s] for s in stems_of(w) if s in self.stems)
+                    if w in self.words:
+                        own += (self.words[w],)
+                    hits[i] = known[w] = own
+                    known.charge(len(w) + 120 + 8 * len(own))
+        ids = list(chain.from_iterable(hits))
         if not ids:
             return np.zeros(0, np.int64), np.zeros(0)
+        tf = np.repeat(np.fromiter(counts.values(), float, len(counts)), list(map(len, hits)))
         feature, inverse = np.unique(np.array(ids), return_inverse=True)
         x = (1 + np.log(np.bincount(inverse, tf))) * (self.weight if weight is None else weight)[feature]
         norm = math.sqrt(x @ x)
@@ -202,42 +255,51 @@ class Index:
 
     def nearest(self, feature: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cosines and places of the k nearest examples, and of all that tie with the last."""
-        k, size, none = self.params.k, len(self.share), (np.zeros(0), np.zeros(0, np.int64))
+        k, none = self.params.k, (np.zeros(0), np.zeros(0, np.int64))
         n = self.first[feature + 1] - self.first[feature] if len(feature) else np.zeros(0, np.int64)
         entry = _ranges(self.first[feature], n) if n.sum() else np.zeros(0, np.int64)
         if not len(entry):
             return none
         own = np.repeat(weight, n)
-        block = self.block_of[entry]
+        block, row = self.block_of[entry], self.row_of[feature]
         bound = np.bincount(block, own * self.most[entry])
         order = np.argsort(-bound, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        scores, places, low, step, least = [], [], 0, 4, 0.0
-        while low < len(order):
-            # no block from here on can hold a nearer one
-            high = min(low + step, int(np.searchsorted(-bound[order], 1e-6 - max(least, 1e-5))))
-            if high <= low:
-                break
-            mine = np.flatnonzero((rank[block] >= low) & (rank[block] < high))
-            e = entry[mine]
-            sizes = self.start[e + 1] - self.start[e]
-            at = _ranges(self.start[e], sizes)
-            found = np.bincount(self.place[at], np.repeat(own[mine], sizes) * self.value[at], size)
-            hit = np.flatnonzero(found > 0)
-            scores.append(found[hit])
-            places.append(hit)
-            low, step = high, step * 2
-            seen = np.concatenate(scores)
-            least = np.partition(seen, -k)[-k] if len(seen) >= k else 0.0
-        if not scores:
+        wide = row >= 0
+        rows, weights, short = row[wide], weight[wide].astype(np.float32), np.repeat(~wide, n)
+        entry, own, block = entry[short], own[short], block[short]
+        first, rest = order[:FIRST], order[FIRST:]
+        score, place = self._score(first, entry, own, block, rows, weights)
+        if len(rest):
+            least = np.partition(score, -k)[-k] if len(score) >= k else 0.0
+            rest = rest[bound[rest] >= max(least - 1e-5, 1e-9)]  # no other block can hold a nearer one
+            if len(rest):
+                more, there = self._score(rest, entry, own, block, rows, weights)
+                score, place = np.concatenate([score, more]), np.concatenate([place, there])
+        if not len(score):
             return none
-        score, place = np.concatenate(scores), np.concatenate(places)
+        least = np.partition(score, -k)[-k] if len(score) >= k else 0.0
         near = score >= least - 1e-6
         score, place = score[near], place[near]
         by = np.lexsort((place, -score))
         return score[by], place[by]
 
+    def _score(self, blocks: np.ndarray, entry: np.ndarray, own: np.ndarray, block: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines above 0 within some blocks, and whose they are: postings of the entries there, and dense rows."""
+        size = self.params.block
+        chosen = np.zeros(self.dense.shape[1], bool)
+        chosen[blocks] = True
+        mine = np.flatnonzero(chosen[block])
+        e = entry[mine]
+        sizes = self.start[e + 1] - self.start[e]
+        at = _ranges(self.start[e], sizes)
+        found = np.bincount(self.place[at], np.repeat(own[mine], sizes) * self.value[at], len(chosen) * size).astype(float, copy=False)
+        blocks = np.flatnonzero(chosen)
+        if len(rows):
+            part = self.dense[rows] if len(blocks) == len(chosen) else self.dense[rows[:, None], blocks]
+            found.reshape(-1, size)[blocks] += np.tensordot(weights, part, 1)
+        hit = np.flatnonzero(found > 0)
+        return found[hit], hit
+
     def vote(self, cosine: np.ndarray, place: np.ndarray) -> float:
         """Share of toxic neighbours by a weight that falls with distance."""
         near = np.minimum(cosine, 1) ** 2
@@ -253,7 +315,7 @@ class Index:
             own = [(p, c, e[1 - toxic]) for p, c, *e in examples if e[1 - toxic]][: self.params.calibrate]
             used = sum(n for _, _, n in own)
             for p, counts, n in own:
-                q, v = self.features(counts, less[toxic])
+                q, v = self.features(counts(), less[toxic])
                 cosine, place = self.nearest(q, v)
                 others = place != p
                 s = self.vote(cosine[others], place[others])
@@ -324,7 +386,8 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityP
                 yield batch_of(out, doc_id=part.column(0), toxic=part.column(1), words=[list(c) for c in found], counts=[list(c.values()) for c in found])
 
     rows = in_arrow(sample.select("doc_id", "toxic", "text"), count, "doc_id long, toxic long, words array<string>, counts array<long>").toLocalIterator()
-    index = Index.build([(i, t, dict(zip(w, n, strict=True))) for i, t, w, n in rows], sizes, params)
+    index = Index.build(((i, t, dict(zip(w, n, strict=True))) for i, t, w, n in rows), sizes, params)
+    release()
     discard(spark, marked_at, chosen_at)
     return index
 
