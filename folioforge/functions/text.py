@@ -173,3 +173,16 @@ def needs_login(url: Column, status: Column, prefix: str | None = None) -> Colum
     """401 or 403, a URL under the login page, or a path segment that says so."""
     hit = status.isin(401, 403) | F.lower(url_path(url)).rlike("/(login|signin|sign-in|auth)(/|$)")
     return hit | F.startswith(url, F.lit(prefix)) if prefix else hit
+
+
+def header(headers: Column, name: str) -> Column:
+    """A header's value in a map of them, whatever its case; null if it isn't there."""
+    lower = F.transform_keys(headers, lambda k, _: F.lower(k))
+    return F.element_at(F.map_filter(lower, lambda k, _: k == name.lower()), name.lower())
+
+
+def is_html_response(ctype: Column, url: Column) -> Column:
+    """By the content type; without one, unless the URL's extension is that of another kind."""
+    kind = F.coalesce(content_type(ctype), F.lit(""))
+    other = F.coalesce(_lookup(url_extension(url), KINDS), F.lit("html")) != "html"
+    return F.when(kind != "", kind.isin("text/html", "application/xhtml+xml")).otherwise(~other)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions.text import TOKEN, STOPWORDS, clamp, content_hash, overlap, py_strip, token_estimate
 from folioforge.operators import graph
+from folioforge.operators.models import complete
 from folioforge.schema import KIND_RANK
 from folioforge.session import cut
 
@@ -70,6 +72,17 @@ def keywords(query: Column) -> tuple[Column, Column]:
     return F.transform(F.slice(longest, 1, 2), lambda s: s["t"]), F.slice(kept, 1, 12)
 
 
+def model_keywords(queries: DataFrame, model: Callable[[str], str]) -> DataFrame:
+    """``queries`` with ``high`` and ``low`` keywords by a model that answers in JSON (``{"high": [...], "low": [...]}``).
+    Where it fails, or leaves one of them empty, both are those of ``keywords``. ``retrieve`` uses such columns."""
+    answer = F.from_json(complete(F.col("query"), model)["value"], "high array<string>, low array<string>")
+    clean = lambda c: F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda t: F.lower(py_strip(t))), lambda t: t != ""))
+    rows = queries.withColumn("_a", answer).withColumn("_high", clean(F.col("_a.high"))).withColumn("_low", clean(F.col("_a.low")))
+    both = (F.size("_high") > 0) & (F.size("_low") > 0)
+    high, low = keywords(F.col("query"))
+    return rows.withColumn("high", F.when(both, F.col("_high")).otherwise(high)).withColumn("low", F.when(both, F.col("_low")).otherwise(low)).drop("_a", "_high", "_low")
+
+
 def render_entity() -> Column:
     return F.concat(F.lit("Entity: "), "label", F.lit("\nType: "), "type", F.lit("\nDescription: "), F.coalesce(F.nullif("description", F.lit("")), F.lit("No description")))
 
@@ -174,7 +187,8 @@ def retrieve(queries: DataFrame, tables: GraphTables, config: GraphQuery = Graph
 
 def _asked(queries: DataFrame, level: int) -> DataFrame:
     """The query and its keywords of a level, each a query of its own."""
-    words = keywords(F.col("query"))[level]
+    given = ("high", "low")[level]
+    words = F.col(given) if given in queries.columns else keywords(F.col("query"))[level]
     vector = ["embedding"] if "embedding" in queries.columns else []
     each = queries.select(F.col("query_id").alias("_of"), F.col("query").alias("_whole"), *vector, F.explode(F.array_distinct(F.concat(F.array("query"), words))).alias("query"))
     # the vector is that of the whole query

@@ -8,6 +8,7 @@ import math
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from string import Formatter
 
 import numpy as np
 import pandas as pd
@@ -74,6 +75,47 @@ def extractive_summary(text: str, budget: int) -> str:
     return out or text.strip()[:budget]
 
 
+#: What a prompt for the summary of a cluster has to have.
+PLACEHOLDERS = frozenset(("context", "target_language", "max_chars", "target_ratio"))
+CLUSTER_PROMPT = "Summarise the texts below in {target_language}, in at most {max_chars} characters and about {target_ratio} of their length.\n\n{context}"
+
+
+@dataclass(frozen=True)
+class ClusterSummarizer:
+    """A model's summary of a cluster's joined texts, for ``tree.build``: it is asked for the texts' own language
+    (by their script) and the budget. A template without one of the placeholders is refused."""
+
+    model: Complete
+    template: str = CLUSTER_PROMPT
+    ratio: float = 0.3
+
+    def __post_init__(self) -> None:
+        try:
+            named = {re.split(r"[.\[]", name)[0] for _, name, _, _ in Formatter().parse(self.template) if name}
+        except ValueError as e:
+            raise ValueError(f"no template: {e}") from e
+        if missing := PLACEHOLDERS - named:
+            raise ValueError(f"the template lacks {', '.join(sorted(missing))}")
+
+    def __call__(self, text: str, budget: int) -> str:
+        answer = self.model(self.template.format(context=text, target_language=script(text), max_chars=budget, target_ratio=self.ratio))
+        if not isinstance(answer, str):
+            raise TypeError("a summary must be a string")
+        return answer.strip()
+
+
+def script(text: str) -> str:
+    """The language that the script of a plain string tells, as ``functions.text.script_of``; English by default."""
+    total = len(re.sub(r"\s", "", text))
+    latin, cyrillic = len(re.findall("[A-Za-z]", text)), len(re.findall("[\u0400-\u04ff]", text))
+    return "russian" if total and cyrillic > latin and cyrillic >= 0.3 * total else "english"
+
+
+def table_summarizer(model: Complete, language: str = "English", chars: int = 400) -> Callable[[str], str]:
+    """A model's summary of a table given as text, in a language and of about a length."""
+    return lambda table: model(f"Summarise this table in {language}, in about {chars} characters at most.\n\n{table}").strip()
+
+
 @dataclass(frozen=True)
 class Registry:
     """provider -> size -> model name."""
