@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import html_dom
 from folioforge.functions import text as T
-from folioforge.operators import compose, index, models, stores
+from folioforge.operators import compose, graph, graph_retriever, index, models, stores
 from folioforge.sources import engines, files, web
 from folioforge.streaming import ingest
 
@@ -86,6 +86,44 @@ def test_routed_downloads(spark):
     assert got["a"][0].startswith("| x | y |") and got["b"][0] == "# T" and "- k: 1" in got["c"][0] and got["d"] == ("plain", True) and got["e"] == (None, False)
 
 
+def test_headers(spark):
+    df = spark.createDataFrame([({"Content-Type": "Text/HTML; x"}, "http://h/a.pdf"), ({"x": "y"}, "http://h/a.pdf"), ({}, "http://h/a")], "h map<string,string>, url string")
+    ctype = T.header(F.col("h"), "content-type")
+    assert [(r[0], r[1]) for r in df.select(ctype, T.is_html_response(ctype, F.col("url"))).collect()] == [("Text/HTML; x", True), (None, False), (None, True)]
+
+
+# --- models ------------------------------------------------------------------------------------
+
+
+def test_cluster_summarizer():
+    asked = []
+    short = models.ClusterSummarizer(lambda p: asked.append(p) or " brief ")
+    assert short("some text", 50) == "brief" and "at most 50 characters" in asked[0] and "in english" in asked[0]
+    short("немного текста", 50)
+    assert "in russian" in asked[1]
+    for bad in ("{context}", "{context} {max_chars} {target_ratio", "no placeholder"):
+        with pytest.raises(ValueError):
+            models.ClusterSummarizer(str, bad)
+    with pytest.raises(TypeError):
+        models.ClusterSummarizer(lambda p: None)("x", 1)
+    assert models.table_summarizer(lambda p: p.split("\n\n")[1] + " ")("| a |") == "| a |"
+
+
+def test_model_keywords(spark):
+    def model(query):
+        if "broken" in query:
+            raise OSError("down")
+        return '{"high": [" River ", "river"], "low": ["delta"]}' if "good" in query else '{"high": [], "low": ["x"]}'
+
+    rows = graph_retriever.model_keywords(spark.createDataFrame([(1, "good one"), (2, "broken thing"), (3, "empty answer")], "query_id int, query string"), model)
+    assert {r.query_id: (r.high, r.low) for r in rows.collect()} == {1: (["river"], ["delta"]), 2: (["broken", "thing"], ["broken", "thing"]), 3: (["answer", "empty"], ["empty", "answer"])}
+    nodes = spark.createDataFrame([("a", "t", "delta", None, None)], "id string, type string, label string, description string, source_segment_id string")
+    edges = graph.append_edges(spark.createDataFrame([("a", "a", "r", 1.0, None, 1)], "source_id string, target_id string, relation_type string, weight double, source_segment_id string, seq int"))
+    chunks = spark.createDataFrame([("s", "x")], "segment_id string, content string")
+    found = graph_retriever.retrieve(rows, graph_retriever.GraphTables(nodes, edges, chunks), graph_retriever.GraphQuery(mode="local")).collect()
+    assert {r.query_id for r in found} == {1}
+
+
 # --- engines -------------------------------------------------------------------------------
 
 
