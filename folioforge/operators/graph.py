@@ -107,6 +107,9 @@ def search_nodes_hybrid(queries: DataFrame, nodes: DataFrame, priors: DataFrame,
     return _best(kept.select("query_id", "id", "score"), k, F.desc("score"), "id")
 
 
+FEW = 32
+
+
 def _grams(t: Column) -> Column:
     """What tokens are sought by: short ones as they are, long ones by their runs of four characters."""
     return F.array_distinct(F.flatten(F.transform(t, lambda x: F.when(F.length(x) < 4, F.array(x)).otherwise(F.transform(F.sequence(F.lit(1), F.length(x) - 3), lambda i: F.substring(x, i, 4))))))
@@ -118,8 +121,9 @@ def _pairs(queries: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     Whatever a lexical score counts (a shared token, one token in another, equal beginnings, the query
     as a whole in the text) has a run of four characters in common, or a short token. So
     rows meet queries by an inverted index over these; only queries that are blank or of short tokens
-    alone, and those with a vector that rows have as well, are held against all rows."""
-    vectors = "embedding" in rows.columns and "embedding" in queries.columns
+    alone, and those with a vector that rows have as well, are held against all rows. The result is the same,
+    so a set of a ``FEW`` queries (counted) is held against all rows, too: that is quicker than to cut all rows up."""
+    vectors = "embedding" in rows.columns and "embedding" in queries.columns or queries.count() <= FEW
 
     def search(q: DataFrame) -> DataFrame:
         asked = q.withColumn("_q", tokens(F.col("query"))).withColumnsRenamed({"embedding": "_qv"})

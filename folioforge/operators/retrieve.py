@@ -217,7 +217,8 @@ def bm25(queries: DataFrame, corpus: DataFrame, k: int = 4, *, key: str = "doc_i
     def search(block: DataFrame) -> DataFrame:
         terms = block.select("query_id", F.explode(F.filter(F.split("query", r"(?U)\s+"), lambda x: x != "")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
         weights = idf.join(F.broadcast(terms), "term").crossJoin(F.broadcast(facts)).select("query_id", "term", "qtf", "avgdl", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-        posted = words.select(key, F.size("w").alias("dl"), F.explode("w").alias("term")).join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+        wanted = [r[0] for r in terms.select("term").distinct().collect()]  # those of a block of queries
+        posted = words.select(key, F.size("w").alias("dl"), F.explode(F.filter("w", lambda x: x.isin(wanted))).alias("term"))
         tf = posted.groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
         length = k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
         scored = tf.join(F.broadcast(weights), "term").groupBy("query_id", key).agg(F.sum(F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + length)).alias("score"))

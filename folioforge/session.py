@@ -36,11 +36,17 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """End the lineage by a checkpoint in the shared folder."""
+    """End the lineage by a checkpoint in the shared folder. The rows are kept until they are written,
+    as a checkpoint would compute them twice otherwise."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(scratch_root(df.sparkSession))
-    return df.checkpoint()
+    if df.storageLevel.useMemory or df.storageLevel.useDisk:
+        return df.checkpoint()
+    kept = df.persist()
+    out = kept.checkpoint()
+    kept.unpersist()
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
