@@ -10,6 +10,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioforge.functions import html_dom
 from folioforge.functions.text import STOPWORDS
@@ -285,6 +286,22 @@ def test_graph_modes(spark, mode):
     assert any(got.values())
 
 
+def test_graph_index_finds_the_same(spark, monkeypatch):
+    """Many queries by the index, few by all pairs."""
+    words = ["alpha", "al", "pha", "gamma", "gam", "st", "station", "stations", "ha", "delta alpha", "x"]
+    nodes = spark.createDataFrame([(f"n{i}", f"{a} {b}", None) for i, (a, b) in enumerate(itertools.product(words, words))], "id string, label string, description string")
+    edges = graph.append_edges(spark.createDataFrame([(f"n{i}", f"n{(i * 7) % 121}", "near", 1.0 + i, None, i) for i in range(121)], "source_id string, target_id string, relation_type string, weight double, source_segment_id string, seq int"))
+    priors = graph.node_priors(nodes, edges)
+    asked = spark.createDataFrame(list(enumerate([*words, "", " ", "a st", "alphabet", "gammastation", "PHA GAM", "near al"])), "query_id int, query string")
+    found = []
+    for few in (0, 1000):
+        monkeypatch.setattr(graph, "FEW", few)
+        one = graph.search_nodes_hybrid(asked, nodes, priors, 200).select("query_id", "id", F.round("score", 9)).collect()
+        two = graph.search_edges_hybrid(asked, nodes, edges, priors, 200).select("query_id", "edge_id", F.round("score", 9)).collect()
+        found.append((sorted(map(tuple, one)), sorted(map(tuple, two))))
+    assert found[0] == found[1] and len(found[0][0]) > 300 and len(found[0][1]) > 300
+
+
 def test_graph_vector_terms(spark):
     """0.20 of the cosine for nodes and for edges; it is evidence of its own."""
     nodes = spark.createDataFrame([("a", "alpha", None, [1.0, 0.0]), ("b", "beta", None, [0.6, 0.8]), ("c", "gamma", None, None)], "id string, label string, description string, embedding array<float>")
