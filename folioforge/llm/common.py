@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -153,6 +154,13 @@ def release() -> None:
         trim(0)
 
 
+def share(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast of which the driver keeps no second copy in Python: it lies in a file there."""
+    shared = spark.sparkContext.broadcast(value)
+    shared.__dict__.pop("_value", None)  # loaded again if the driver itself asks for it
+    return shared
+
+
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``df.mapInArrow`` in batches of bounded bytes; memory is given back at a task's end."""
     conf = df.sparkSession.conf

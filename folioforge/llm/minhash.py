@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import batch_of, discard, in_arrow, made_since, materialize, slices, text_column
+from folioforge.llm.common import batch_of, discard, in_arrow, made_since, materialize, release, slices, text_column
 from folioforge.llm.components import components
 from folioforge.llm.wordscan import mix, scan, shingles
 
@@ -161,6 +161,7 @@ def near_duplicates(docs: DataFrame, params: MinMaxParams = MinMaxParams()) -> D
     it returns, so that only the result stays in the shared folder.
     """
     spark, before = docs.sparkSession, made_since()
+    release()  # what earlier stages left in the driver
     signed, _ = materialize(sign(docs, params), "signed")
     classes, _ = materialize(
         signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "sets"

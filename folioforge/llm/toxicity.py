@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import Memo, batch_of, discard, in_arrow, materialize, release, slices
+from folioforge.llm.common import Memo, batch_of, discard, in_arrow, materialize, release, share, slices
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Bytes of words that a worker remembers with their features, about.
@@ -400,7 +400,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     ``evidence`` lists the labelled documents nearest to it. Whole texts are read in one
     narrow pass. Texts without a feature (null and empty ones among them) score as
     such labelled ones do; rows keep their multiplicity, a null doc_id stays null, other columns aren't read."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = share(docs.sparkSession, index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -414,7 +414,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
 def keep_clean(docs: DataFrame, index: Index) -> DataFrame:
     """The rows of ``docs`` whose text doesn't score as toxic, with all their columns, in
     the one pass that scores them (no join by id, so repeated and null ids stay)."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = share(docs.sparkSession, index)
     schema = docs.schema
     at = schema.names.index("text")
 
