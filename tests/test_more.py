@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import sys
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import html_dom
 from folioforge.functions import text as T
-from folioforge.operators import compose, graph, graph_retriever, index, models, stores
+from folioforge.operators import compose, graph, graph_retriever, index, models, retrieve, stores
 from folioforge.sources import engines, files, web
 from folioforge.streaming import ingest
 
@@ -277,3 +278,36 @@ def test_event_counts_as_a_stream(spark, tmp_path):
     batch = {(r.start, r.event_type): r.n for r in ingest.event_counts(events).collect()}
     got = {(r.start, r.event_type): r.n for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got and all(batch[k] == n for k, n in got.items()) and len(batch) - len(got) <= 10
+
+
+# --- edit distance ------------------------------------------------------------------------
+
+
+def edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_levenshtein_against_all_pairs(spark, monkeypatch):
+    """Queries up to a word of bits are compared in batches, each distinct one once; no pair of texts goes to the built-in."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abÉя𝒳") for _ in range(rng.randint(0, n)))
+    texts = [(i, rng.choice([None, word(4), word(9), "x" * 62 + word(6)])) for i in range(60)] + [(60, ""), (61, "x" * 70)]
+    asked = [(i, rng.choice([None, word(4), word(9), "X" * 60 + word(4)])) for i in range(30)] + [(30, ""), (31, "x" * 64), (32, "x" * 64)]
+    corpus, queries = spark.createDataFrame(texts, "id int, content string"), spark.createDataFrame(asked, "query_id int, query string")
+    want = {(q, i, d) for q, x in asked for i, t in texts if x is not None and t is not None and (d := edits(x.lower(), t.lower())) <= 3}
+    long = queries.unionByName(spark.createDataFrame([(99, "x" * 68)], "query_id int, query string"))
+    found = retrieve.levenshtein_scan(long, corpus, 3).select("query_id", "id", "distance").collect()
+    assert {(*r,) for r in found} == want | {(99, i, d) for i, t in texts if t is not None and (d := edits("x" * 68, t.lower())) <= 3} and len(found) == len({(*r,) for r in found})
+
+    def refused(*_):
+        raise AssertionError("pair by pair")
+
+    monkeypatch.setattr(retrieve.F, "levenshtein", refused)
+    found = retrieve.levenshtein_scan(queries, corpus, 3).select("query_id", "id", "distance").collect()
+    assert {(*r,) for r in found} == want and len(found) == len(want)
