@@ -71,6 +71,23 @@ def test_communities(spark):
     assert found == [["a", "b", "c"], ["x", "y", "z"]]
 
 
+def test_greedy_communities_of_hubs_take_few_steps(monkeypatch):
+    """The heap takes a few entries an edge; it took one for each pair of a hub's leaves. Gains that tie go by least member."""
+    pushed, push = [0], communities.heapq.heappush
+
+    def counted(heap, item):
+        pushed[0] += 1
+        push(heap, item)
+
+    monkeypatch.setattr(communities.heapq, "heappush", counted)
+    edges = [(f"n{i}", "r") for i in range(4)] + [(f"c{j:04}", f"n{j % 4}") for j in range(2000)]
+    found = communities.greedy_modularity(edges)
+    assert found == [["c0000", *(f"c{j:04}" for j in range(4, 2000, 4)), "n0", "r"], *(sorted([f"n{i}", *(f"c{j:04}" for j in range(i, 2000, 4))]) for i in (1, 2, 3))]
+    assert pushed[0] < 10 * len(edges)
+    assert communities.greedy_modularity([("b", "a"), ("c", "b"), ("d", "c")]) == [["a", "b"], ["c", "d"]]
+    assert communities.greedy_modularity([("a", "a"), ("a", "b"), ("a", "b"), ("c", "b")]) == [["b", "c"], ["a"]]
+
+
 def test_label_propagation(spark):
     """Large components: two cliques and a bridge; a star, whose two sides would swap labels for ever."""
     ring = [(f"{g}{i}", f"{g}{j}") for g in "ab" for i in range(6) for j in range(i)] + [("a0", "b0")]
