@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioforge.functions import html_dom
-from folioforge.functions.text import in_scope, normalize_url
+from folioforge.functions.text import in_scope, normalize_url, url_host
 from folioforge.session import cut
 
 _LINK = "array<struct<url:string,text:string,classes:array<string>,is_navigation:boolean>>"
@@ -72,13 +74,80 @@ def drop_repeated_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def crawl(starts: DataFrame, links: DataFrame, depth: int, *, scope: str = "same_host", domains: tuple[str, ...] = (), max_pages: int | None = None) -> DataFrame:
+#: Links of a host that one task follows; those of larger hosts are followed wave by wave.
+LINKS_A_TASK = 2_000_000
+
+
+def crawl(starts: DataFrame, links: DataFrame, depth: int, *, scope: str = "same_host", domains: tuple[str, ...] = (), max_pages: int | None = None, most: int = LINKS_A_TASK) -> DataFrame:
     """Breadth-first over ``links(page_url, url, is_navigation)`` from ``starts(url)``: each url
     once, at its least depth. Regular links cost a step, navigation links none. ``max_pages``
-    keeps the first in order of depth and url. A wave is a join with the frontier; the
-    visited are anti-joined, and each wave is written before the next."""
-    step = cut(links.select(normalize_url(F.col("page_url")).alias("u"), normalize_url(F.col("url")).alias("v"), F.col("is_navigation").cast("boolean").alias("nav")).where("u <> v").distinct())
-    seen = cut(starts.select(normalize_url(F.col("url")).alias("url"), normalize_url(F.col("url")).alias("start_url")).distinct().withColumn("depth", F.lit(0)))
+    keeps the first in order of depth and url.
+
+    A crawl that stays on its host needs that host's links only: a task follows them all, up to ``most``, however
+    long its chains of navigation are. Other scopes, larger hosts and hosts of very many starts go wave by wave."""
+    step = links.select(normalize_url(F.col("page_url")).alias("u"), normalize_url(F.col("url")).alias("v"), F.col("is_navigation").cast("boolean").alias("nav")).where("u <> v").distinct()
+    seen = starts.select(normalize_url(F.col("url")).alias("url"), normalize_url(F.col("url")).alias("start_url")).distinct().withColumn("depth", F.lit(0))
+    if scope == "same_host":
+        step = cut(step.where(in_scope(F.col("v"), F.col("u"))).withColumn("host", url_host(F.col("u"))))
+        seen = cut(seen.withColumn("host", url_host(F.col("url"))))
+        begun = seen.groupBy("host").agg(F.count(F.lit(1)).alias("starts"))
+        size = step.groupBy("host").agg(F.count(F.lit(1)).alias("links")).join(begun, "host")
+        large = cut(size.where((F.col("links") > most) | (F.col("links") * F.col("starts") > 10 * most)).select("host"))
+        inside = step.join(large, "host", "left_anti").join(seen.select("host"), "host", "left_semi")
+        whole = seen.join(large, "host", "left_anti").where("host is not null").groupBy("host").cogroup(inside.groupBy("host")).applyInArrow(_follow_all(depth), "url string, start_url string, depth int")
+        # a start of no host has no links in scope
+        found = whole.unionByName(seen.where("host is null").drop("host"))
+        rest = seen.join(large, "host", "left_semi").drop("host")
+        if not rest.isEmpty():
+            found = found.unionByName(_waves(cut(rest), cut(step.join(large, "host", "left_semi").drop("host")), depth, scope, domains))
+    else:
+        found = _waves(cut(seen), cut(step), depth, scope, domains)
+    return found if max_pages is None else found.orderBy("depth", "url", "start_url").limit(max_pages)
+
+
+def _follow_all(depth: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """All crawls of a host over its links; urls are numbered, and links of a url lie together."""
+
+    def run(starts: pa.Table, links: pa.Table) -> pa.Table:
+        first = starts.column("url").unique().to_pylist()
+        urls = pa.chunked_array([pa.array(first, pa.string()), *links.column("u").cast(pa.string()).chunks, *links.column("v").cast(pa.string()).chunks], pa.string()).combine_chunks().dictionary_encode()
+        names, ids = urls.dictionary, urls.indices.to_numpy(zero_copy_only=False)
+        u, v = ids[len(first) : len(first) + len(links)], ids[len(first) + len(links) :]
+        nav = links.column("nav").to_numpy().astype(bool)
+        sides = []
+        for kind in (nav, ~nav):
+            order = np.argsort(u[kind], kind="stable")
+            sides.append((np.searchsorted(u[kind][order], np.arange(len(names) + 1)), v[kind][order]))
+        (nav_at, nav_to), (at, to) = sides
+        out = []
+        for start in ids[: len(first)]:
+            reached = {int(start): 0}
+            wave = [int(start)]
+            for d in range(depth + 1):
+                level = list(wave)
+                while wave:  # navigation links stay at the depth
+                    x = wave.pop()
+                    for y in nav_to[nav_at[x] : nav_at[x + 1]].tolist():
+                        if y not in reached:
+                            reached[y] = d
+                            level.append(y)
+                            wave.append(y)
+                if d == depth:
+                    break
+                for x in level:
+                    for y in to[at[x] : at[x + 1]].tolist():
+                        if y not in reached:
+                            reached[y] = d + 1
+                            wave.append(y)
+            out.append(pa.table({"url": names.take(pa.array(list(reached), pa.int64())), "start_url": pa.repeat(names[int(start)], len(reached)), "depth": pa.array(list(reached.values()), pa.int32())}))
+        none = pa.table({"url": pa.array([], pa.string()), "start_url": pa.array([], pa.string()), "depth": pa.array([], pa.int32())})
+        return pa.concat_tables([none, *out])
+
+    return run
+
+
+def _waves(seen: DataFrame, step: DataFrame, depth: int, scope: str, domains: tuple[str, ...]) -> DataFrame:
+    """A wave is a join with the frontier; the visited are anti-joined, and each wave is written before the next."""
     wave = seen
     for d in range(depth + 1):
         while True:  # navigation links stay at the depth
@@ -90,7 +159,7 @@ def crawl(starts: DataFrame, links: DataFrame, depth: int, *, scope: str = "same
             break
         wave = _follow(seen.where(F.col("depth") == d), step.where("not nav"), seen, d + 1, scope, domains)
         seen = cut(seen.unionByName(wave))
-    return seen if max_pages is None else seen.orderBy("depth", "url", "start_url").limit(max_pages)
+    return seen
 
 
 def _follow(wave: DataFrame, step: DataFrame, seen: DataFrame, depth: int, scope: str, domains: tuple[str, ...]) -> DataFrame:

@@ -311,3 +311,26 @@ def test_levenshtein_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(retrieve.F, "levenshtein", refused)
     found = retrieve.levenshtein_scan(queries, corpus, 3).select("query_id", "id", "distance").collect()
     assert {(*r,) for r in found} == want and len(found) == len(want)
+
+
+# --- crawls -----------------------------------------------------------------------------------
+
+
+def test_crawl_of_long_chains_takes_no_waves(spark, monkeypatch):
+    """A host's links are followed in a task, with the results of following them wave by wave."""
+    rng = random.Random(7)
+    page = lambda h, i: f"http://{'AB'[h]}.com/{i}"
+    links = [(page(h, rng.randrange(14)), page(h if rng.random() < 0.9 else 1 - h, rng.randrange(14)), rng.random() < 0.3) for h in (0, 1) for _ in range(22)]
+    starts = spark.createDataFrame([(page(0, 0),), (page(0, 1) + "#x",), (page(1, 2),), ("http://c.com/",), ("nowhere",)], "url string")
+    table = spark.createDataFrame([*links, (page(0, 0), "ftp://a.com/x", False)], "page_url string, url string, is_navigation boolean")
+    rows = lambda df: sorted((r.url, r.start_url, r.depth) for r in df.collect())
+    want = rows(web.crawl(starts, table, 2, most=0))
+    assert len(want) > 12 and max(d for *_, d in want) == 2
+    chain = spark.createDataFrame([(page(0, i), page(0, i + 1), True) for i in range(400)], "page_url string, url string, is_navigation boolean")
+
+    def refused(*_):
+        raise AssertionError("wave by wave")
+
+    monkeypatch.setattr(web, "_follow", refused)
+    assert rows(web.crawl(starts, table, 2)) == want
+    assert [r.depth for r in web.crawl(starts.limit(1), chain, 1).collect()] == [0] * 401
