@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import random
 import sys
+import tracemalloc
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -334,3 +337,31 @@ def test_crawl_of_long_chains_takes_no_waves(spark, monkeypatch):
     monkeypatch.setattr(web, "_follow", refused)
     assert rows(web.crawl(starts, table, 2)) == want
     assert [r.depth for r in web.crawl(starts.limit(1), chain, 1).collect()] == [0] * 401
+
+
+# --- vector search in bounded memory ------------------------------------------------------------
+
+
+def test_vector_search_holds_a_block_of_scores(spark, monkeypatch):
+    """Rows of a batch are scored a block at a time; the k first of each query stay, ties by key, over all blocks and batches."""
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-1, 2, (12000, 4)).astype(float)
+    queries = spark.createDataFrame([(i, [float(x) for x in vectors[i]]) for i in range(200)] + [(200, None)], "query_id int, embedding array<double>")
+    corpus, taken = spark.createDataFrame([(0, [1.0])], "vec_id int, embedding array<double>"), []
+    kind = type(corpus)
+    real = kind.mapInPandas
+    monkeypatch.setattr(kind, "mapInPandas", lambda df, run, schema: taken.append(run) or real(df, run, schema))
+    retrieve.vector_search(queries, corpus, 5)
+    order = rng.permutation(12000)
+    batches = [pd.DataFrame({"vec_id": part, "embedding": [vectors[i] for i in part]}) for part in (order[:10000], order[10000:10003], order[10003:])]
+    tracemalloc.start()
+    found = pd.concat(list(taken[0](iter(batches))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    norm = np.linalg.norm(vectors, axis=1)
+    scores = np.divide(vectors[:200] @ vectors.T, norm[:200, None] * norm[None], out=np.zeros((200, 12000)), where=norm[:200, None] * norm[None] > 0)
+    for q, rows in found.groupby("query_id"):
+        mine = scores[q] if q < 200 else np.zeros(12000)
+        best = set(np.lexsort((np.arange(12000), -mine))[:5])
+        assert len(rows) == 5 and np.allclose(np.sort(rows["score"]), np.sort(mine[list(best)])) and (q < 200 or set(rows["vec_id"]) == best)
+    assert found["query_id"].nunique() == 201 and peak < 20 << 20  # all of a batch: 16 MB an array, several of them
