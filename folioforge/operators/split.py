@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import jsons, tables
 from folioforge.functions.text import cosine, py_strip
+from folioforge.session import bound_batches
 
 # --- the base contract -----------------------------------------------------------------
 
@@ -50,7 +51,8 @@ def split_segments(segments: DataFrame, chunks: Column, strategy: str) -> DataFr
 
 
 def python_chunks(split: Callable[[str], list[str]], c: Column) -> Column:
-    """A plain function as an array-valued column, in Arrow batches."""
+    """A plain function as an array-valued column, in Arrow batches of bounded bytes."""
+    bound_batches()
 
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series) -> pd.Series:
@@ -292,6 +294,7 @@ def csv_table(text: str, max_rows: int = 100, max_size: int | None = None, delim
 
 def explode_dicts(docs: DataFrame, split: Callable[[str], list[dict]], fields: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Run a plain splitter that returns dicts and give each a row with ``chunk_index``."""
+    bound_batches()
     names = [f.strip().split(" ")[0] for f in re.split(r",(?![^<]*>)", fields)]
 
     @F.pandas_udf(f"array<struct<{', '.join(f.strip().replace(' ', ': ', 1) for f in re.split(r',(?![^<]*>)', fields))}>>")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import html_dom
 from folioforge.functions.text import in_scope, normalize_url, url_host
-from folioforge.session import cut
+from folioforge.session import bound_batches, cut
 
 _LINK = "array<struct<url:string,text:string,classes:array<string>,is_navigation:boolean>>"
 _BLOCK = "array<struct<kind:string,markdown:string,html:string,level:int,title:string,rows:array<array<string>>>>"
@@ -21,6 +21,7 @@ _BLOCK = "array<struct<kind:string,markdown:string,html:string,level:int,title:s
 
 def page_links(pages: DataFrame, *, ignore: tuple[str, ...] = (), navigation: tuple[str, ...] = (), texts: tuple[str, ...] = ()) -> DataFrame:
     """``pages(page_id, url, html)`` -> a row a distinct absolute link, in page order."""
+    bound_batches()
 
     @F.pandas_udf(_LINK)
     def run(html: pd.Series, url: pd.Series) -> pd.Series:
@@ -37,6 +38,7 @@ def merge_links(links: DataFrame) -> DataFrame:
 
 def page_blocks(pages: DataFrame) -> DataFrame:
     """A row a block of each page."""
+    bound_batches()
 
     @F.pandas_udf(_BLOCK)
     def run(html: pd.Series) -> pd.Series:
@@ -50,6 +52,7 @@ def render(c: Column, form: str = "markdown", strict: bool = False) -> Column:
     error gives null."""
     if form not in ("markdown", "html"):
         raise ValueError(f"unknown form {form!r}")
+    bound_batches()
 
     @F.pandas_udf("string")
     def run(html: pd.Series) -> pd.Series:

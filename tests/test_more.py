@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import html_dom
 from folioforge.functions import text as T
-from folioforge.operators import compose, graph, graph_retriever, index, models, retrieve, stores
+from folioforge.operators import compose, graph, graph_retriever, index, models, retrieve, split, stores
 from folioforge.sources import engines, files, web
 from folioforge.streaming import ingest
 
@@ -365,3 +365,24 @@ def test_vector_search_holds_a_block_of_scores(spark, monkeypatch):
         best = set(np.lexsort((np.arange(12000), -mine))[:5])
         assert len(rows) == 5 and np.allclose(np.sort(rows["score"]), np.sort(mine[list(best)])) and (q < 200 or set(rows["vec_id"]) == best)
     assert found["query_id"].nunique() == 201 and peak < 20 << 20  # all of a batch: 16 MB an array, several of them
+
+
+# --- batches of bounded bytes ---------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("use", [lambda df: split.python_chunks(lambda t: [t], F.col("text")), lambda df: split.json_split(df), lambda df: web.render(F.col("text")), lambda df: web.page_blocks(df.select(F.col("doc_id").alias("page_id"), F.col("text").alias("html")))])
+def test_batches_are_bounded_by_bytes(spark, use):
+    """Functions over texts get batches of a megabyte or so, however long the texts are; a lower bound stays."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    df = spark.range(0, 60, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 100_000).alias("text"))
+    use(df)
+
+    @F.pandas_udf("long")
+    def together(texts: pd.Series) -> pd.Series:
+        return pd.Series([int(texts.str.len().sum())] * len(texts))
+
+    assert df.select(together("text").alias("n")).agg(F.max("n")).head()[0] <= (1 << 20) + 100_000
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1000")
+    use(df)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1000"
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
