@@ -386,3 +386,43 @@ def test_batches_are_bounded_by_bytes(spark, use):
     use(df)
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1000"
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+
+# --- graph search for a few queries ---------------------------------------------------------------
+
+
+def test_few_graph_queries_are_not_scored_pair_by_pair(spark, monkeypatch):
+    """Rows are marked once with the tokens of a few queries; pairs and scores are those of all pairs, whatever is near what."""
+    labels = ["alpha", "alphabet soup", "beta station", "stationary", "tion", "  ", "ABC abc al", "the phab", "phabet", "soup's of day", "дельта река", "льта", "a%b_c.*", "station beta x"]
+    nodes = spark.createDataFrame([(f"n{i}", x, None if i % 3 else "part of beta") for i, x in enumerate(labels)], "id string, label string, description string")
+    edges = graph.append_edges(spark.createDataFrame([(f"n{i}", f"n{(i * 5) % 14}", "near", 1.0 + i, None, i) for i in range(14)], "source_id string, target_id string, relation_type string, weight double, source_segment_id string, seq int"))
+    priors = graph.node_priors(nodes, edges)
+    asked = spark.createDataFrame([((1, q), q) for q in ["alphabet", "Station beta", "soup of", "al", "", " ", "zzzz", "дельта", "a%b_c.*", "abc"]], "query_id struct<of:int,query:string>, query string")
+    found, plans = [], []
+    for words in (graph.FEW_WORDS, 0):
+        monkeypatch.setattr(graph, "FEW_WORDS", words)
+        both = graph.search_nodes_hybrid(asked, nodes, priors, 100), graph.search_edges_hybrid(asked, nodes, edges, priors, 100)
+        plans.append([df._jdf.queryExecution().executedPlan().toString() for df in both])
+        found.append([sorted(map(tuple, df.select("query_id", key, "score").collect())) for df, key in zip(both, ("id", "edge_id"), strict=True)])
+    assert found[0] == found[1] and all(len(x) > 40 for x in found[0])
+    assert not any("array_intersect" in p for p in plans[0]) and all("array_intersect" in p for p in plans[1])
+
+
+def test_hashed_embedder_hashes_a_word_once(monkeypatch):
+    """The vectors are those of one hash an occurrence, also when words are forgotten."""
+    import hashlib
+    import re
+
+    texts = ["the cat and the dog and the cat", "", "Ünïcode ünïcode река", " ".join(f"w{i % 7}" for i in range(200))]
+    want = []
+    for t in texts:
+        v = np.zeros(16)
+        for w in re.findall(r"\w+", t.lower()):
+            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+            v[h % 16] += 1 if h >> 63 else -1
+        want.append((v / np.sqrt(v @ v) if v.any() else v).tolist())
+    real, calls = hashlib.blake2b, []
+    monkeypatch.setattr(hashlib, "blake2b", lambda *a, **k: calls.append(1) or real(*a, **k))
+    assert models.hashed_embedder(16)(texts) == want and len(calls) == 4 + 2 + 7
+    monkeypatch.setattr(models, "SLOTS", 3)
+    assert models.hashed_embedder(16)(texts) == want
