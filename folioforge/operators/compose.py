@@ -4,30 +4,41 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def rrf(lists: list[DataFrame], weights: list[float] | None = None, c: int = 60, key: str = "content") -> DataFrame:
+#: Rows of ranked lists that a task fuses, where their number is known.
+TASK_ROWS = 1 << 18
+
+
+def rrf(lists: list[DataFrame], weights: list[float] | None = None, c: int = 60, key: str = "content", most: int | None = None) -> DataFrame:
     """Weighted reciprocal rank fusion of ``(query_id, <key>, rank)`` lists. A key that a
-    list has twice counts at its first rank."""
+    list has twice counts at its first rank. ``most``: a bound of the rows of a list, if one is at hand; queries are then
+    spread over so many tasks that each fuses about ``TASK_ROWS`` of them, however small the rows are when shuffled."""
     if not lists:
         raise ValueError("nothing to fuse")
     weights = weights or [1 / len(lists)] * len(lists)
     if len(weights) != len(lists):
         raise ValueError("one weight a list")
     parts = None
-    for one, w in zip(lists, weights, strict=True):
-        part = one.groupBy("query_id", key).agg(F.min("rank").alias("rank")).withColumn("w", F.lit(float(w)))
+    for i, one in enumerate(lists):
+        part = one.select("query_id", key, "rank", F.lit(i).alias("_list"))
         parts = part if parts is None else parts.unionByName(part)
-    fused = parts.groupBy("query_id", key).agg(F.sum(F.col("w") / (F.col("rank") + c)).alias("score"))
+    if most is not None:
+        parts = parts.repartition(max(1, -(-most * len(lists) // TASK_ROWS)), "query_id")
+    first = [F.min(F.when(F.col("_list") == i, F.col("rank"))).alias(f"_r{i}") for i in range(len(lists))]
+    terms = [F.coalesce(F.lit(float(w)) / (F.col(f"_r{i}") + c), F.lit(0.0)) for i, w in enumerate(weights)]
+    fused = parts.groupBy("query_id", key).agg(*first).select("query_id", key, reduce(add, terms).alias("score"))
     return fused.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), key)))
 
 
-def vector_graph_hybrid(vector: DataFrame, graph: DataFrame, weights: tuple[float, float] = (0.7, 0.3), key: str = "content") -> DataFrame:
-    return rrf([vector, graph], list(weights), key=key)
+def vector_graph_hybrid(vector: DataFrame, graph: DataFrame, weights: tuple[float, float] = (0.7, 0.3), key: str = "content", most: int | None = None) -> DataFrame:
+    return rrf([vector, graph], list(weights), key=key, most=most)
 
 
 def rerank(hits: DataFrame, score: Column, n: int = 5, min_ratio: float = 0.0, tie: str = "rank") -> DataFrame:

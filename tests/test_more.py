@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import sys
 import tracemalloc
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -426,3 +427,29 @@ def test_hashed_embedder_hashes_a_word_once(monkeypatch):
     assert models.hashed_embedder(16)(texts) == want and len(calls) == 4 + 2 + 7
     monkeypatch.setattr(models, "SLOTS", 3)
     assert models.hashed_embedder(16)(texts) == want
+
+
+# --- fusion in bounded tasks -------------------------------------------------------------------------
+
+
+def test_fusion_spreads_queries_by_the_rows_of_the_lists(spark, monkeypatch):
+    """However few bytes the lists have, a task fuses a bounded number of rows; scores and ranks are the same."""
+    from folioforge.plans.catalogue import QUERIES
+
+    lists = [spark.createDataFrame([(q, f"k{(i * s) % 9}", i + 1) for q in range(50) for i in range(7)], "query_id int, content string, rank int") for s in (1, 2, 4)]
+    want = defaultdict(float)
+    for s, w in ((1, 0.5), (2, 0.3), (4, 0.2)):
+        for i in range(7):
+            want[f"k{(i * s) % 9}"] += w / (60 + i + 1)
+    order = sorted(want, key=lambda k: (-round(want[k], 12), k))
+    monkeypatch.setattr(compose, "TASK_ROWS", 100)
+    found = compose.rrf(lists, [0.5, 0.3, 0.2], most=350)
+    assert found.rdd.getNumPartitions() == 11
+    for q, rows in pd.DataFrame([r.asDict() for r in found.collect()]).groupby("query_id"):
+        rows = rows.sort_values("rank")
+        assert list(rows["content"]) == order and np.allclose(rows["score"], [want[k] for k in order])
+    twice = spark.createDataFrame([(1, "a", 5), (1, "a", 2), (1, "b", 1)], "query_id int, content string, rank int")
+    assert {r.content: r.score for r in compose.rrf([twice, twice.where("content = 'b'")]).collect()} == {"a": 0.5 / 62, "b": 0.5 / 61 + 0.5 / 61}
+    orders = 1500
+    for name in ("ensemble_rrf",):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 2 * orders // 100
