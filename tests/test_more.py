@@ -451,5 +451,5 @@ def test_fusion_spreads_queries_by_the_rows_of_the_lists(spark, monkeypatch):
     twice = spark.createDataFrame([(1, "a", 5), (1, "a", 2), (1, "b", 1)], "query_id int, content string, rank int")
     assert {r.content: r.score for r in compose.rrf([twice, twice.where("content = 'b'")]).collect()} == {"a": 0.5 / 62, "b": 0.5 / 61 + 0.5 / 61}
     orders = 1500
-    for name in ("ensemble_rrf",):
+    for name in ("ensemble_rrf", "vector_graph_hybrid"):
         assert QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 2 * orders // 100
