@@ -19,16 +19,32 @@ Embedder = Callable[[list[str]], list[list[float]]]
 Complete = Callable[[str], str]
 
 
+#: Words whose slot an embedder remembers; it forgets all when there are more.
+SLOTS = 1 << 16
+
+
+class _Slots(dict):
+    """A word's slot, and ``size`` more where it counts against it."""
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def __missing__(self, w: str) -> int:
+        if len(self) >= SLOTS:
+            self.clear()
+        h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+        self[w] = slot = h % self.size + (0 if h >> 63 else self.size)
+        return slot
+
+
 def hashed_embedder(size: int = 64) -> Embedder:
-    """A bag of hashed words of length 1: the same in every process."""
+    """A bag of hashed words of length 1: the same in every process. A word is hashed once a batch, not once an occurrence."""
 
     def run(texts: list[str]) -> list[list[float]]:
-        out = []
+        out, slot = [], _Slots(size).__getitem__
         for t in texts:
-            v = np.zeros(size)
-            for w in re.findall(r"\w+", t.lower()):
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                v[h % size] += 1 if h >> 63 else -1
+            seats = np.bincount(np.array([*map(slot, re.findall(r"\w+", t.lower()))], np.int64), minlength=2 * size)
+            v = (seats[:size] - seats[size:]).astype(float)
             n = math.sqrt(float(v @ v))
             out.append((v / n if n else v).tolist())
         return out
