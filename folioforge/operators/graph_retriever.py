@@ -181,7 +181,7 @@ def retrieve(queries: DataFrame, tables: GraphTables, config: GraphQuery = Graph
         items = fuse([local(queries, tables, priors, config), global_(queries, tables, priors, config)])
         if config.mode == "mix":
             near = tables.chunk_scores.withColumn("_n", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "segment_id"))).where(F.col("_n") <= 2 * config.chunks).drop("_n")
-            items = fuse([items, _chunk_items(queries, near.join(tables.chunks, "segment_id"))])
+            items = fuse([items, _chunk_items(queries, with_texts(near, tables.chunks))])
     return finalize(queries, items, config, k)
 
 
@@ -255,6 +255,17 @@ def hydrate_chunks(queries: DataFrame, items: DataFrame, chunks: DataFrame, k: i
     return _chunk_items(queries, scored.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n"))
 
 
+#: Hits that are sent to all tasks, rather than all texts to the hits.
+FEW_HITS = 100_000
+
+
+def with_texts(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The hits of a search with their chunks. They are found and counted first: up to ``FEW_HITS`` meet the
+    texts where these are, so no text is shuffled that wasn't hit."""
+    hits = cut(hits)
+    return (F.broadcast(hits) if hits.count() <= FEW_HITS else hits).join(chunks, "segment_id")
+
+
 def _chunk_items(queries: DataFrame, rows: DataFrame) -> DataFrame:
     """Chunk evidence: 0.75 of the score + 0.25 of the overlap."""
     asked = rows.join(queries.select("query_id", "query"), "query_id")

@@ -453,3 +453,20 @@ def test_fusion_spreads_queries_by_the_rows_of_the_lists(spark, monkeypatch):
     orders = 1500
     for name in ("ensemble_rrf", "vector_graph_hybrid"):
         assert QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 2 * orders // 100
+
+
+def test_texts_come_to_few_hits_without_a_shuffle(spark, monkeypatch):
+    chunks = spark.createDataFrame([(f"s{i}", f"text {i}") for i in range(40)], "segment_id string, content string")
+    hits = spark.createDataFrame([(q, f"s{q * 3}", q / 10) for q in range(8)] + [(9, "none", 0.5)], "query_id int, segment_id string, score double")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        few = graph_retriever.with_texts(hits, chunks)
+        assert "BroadcastHashJoin" in plan(few) and "SortMergeJoin" not in plan(few)
+        monkeypatch.setattr(graph_retriever, "FEW_HITS", 5)
+        many = graph_retriever.with_texts(hits, chunks)
+        assert "BroadcastHashJoin" not in plan(many)
+        assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) == sorted((f"s{q * 3}", q, q / 10, f"text {q * 3}") for q in range(8))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
