@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import sys
 import tracemalloc
@@ -368,6 +369,70 @@ def test_vector_search_holds_a_block_of_scores(spark, monkeypatch):
     assert found["query_id"].nunique() == 201 and peak < 20 << 20  # all of a batch: 16 MB an array, several of them
 
 
+
+def searched(spark, monkeypatch, queries, batches, k):
+    """What one task of the vector search yields for batches, and its peak of traced memory."""
+    asked = spark.createDataFrame(queries, "query_id int, embedding array<double>")
+    corpus, taken = spark.createDataFrame([(0, [1.0])], "vec_id int, embedding array<double>"), []
+    real = type(corpus).mapInPandas
+    with monkeypatch.context() as m:
+        m.setattr(type(corpus), "mapInPandas", lambda df, run, schema: taken.append(run) or real(df, run, schema))
+        retrieve.vector_search(asked, corpus, k)
+    tracemalloc.start()
+    found = pd.concat(list(taken[0](iter(batches))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return found, peak
+
+
+def test_vector_search_holds_no_more_where_all_scores_tie(spark, monkeypatch):
+    """Rows that tie for all queries take no more memory than others: not all pairs of a block are held at once."""
+    row = [float(x) for x in np.random.default_rng(5).normal(size=8)]
+    keys = np.random.default_rng(6).permutation(4096)
+    batches = [pd.DataFrame({"vec_id": part, "embedding": [np.array(row)] * len(part)}) for part in (keys[:4000], keys[4000:])]
+    found, peak = searched(spark, monkeypatch, [(i, row) for i in range(1024)], batches, 6)
+    got = found.sort_values(["query_id", "vec_id"])["vec_id"].to_numpy().reshape(1024, 6)
+    assert (got == np.arange(6)).all() and peak < 32 << 20
+
+
+def test_vector_search_scores_a_pair_alike_wherever_it_is(spark, monkeypatch):
+    """Copies of a row tie, whatever rows stand about them; a score is the sum in order over the root of the product of norms."""
+    rng = np.random.default_rng(7)
+    one = rng.normal(size=(37, 67))
+    vectors = np.tile(one, (29, 1))
+    vectors[rng.integers(0, len(vectors), 30)] *= 1e-3  # parallel, of another norm
+    cuts = [0, 1, 4, 11, 500, 513, len(vectors)]
+    batches = [pd.DataFrame({"vec_id": range(a, b), "embedding": list(vectors[a:b])}) for a, b in zip(cuts, cuts[1:])]
+    asked = rng.normal(size=(41, 67))
+    found, _ = searched(spark, monkeypatch, [(i, [float(x) for x in v]) for i, v in enumerate(asked)], batches, 5)
+    for i, v in enumerate(asked):
+        scores = []
+        for x in vectors:
+            dot = left = right = 0.0
+            for a, b in zip(map(float, v), map(float, x)):
+                dot, left, right = dot + a * b, left + a * a, right + b * b
+            scores.append(min(1.0, max(-1.0, dot / math.sqrt(left * right))))
+        want = sorted(range(len(vectors)), key=lambda j: (-scores[j], j))[:5]
+        rows = found[found["query_id"] == i].sort_values(["score", "vec_id"], ascending=[False, True])
+        assert rows["vec_id"].tolist() == want and rows["score"].tolist() == [scores[j] for j in want]
+
+
+def test_vector_search_of_odd_vectors(spark, monkeypatch):
+    """Other lengths, none, zero, huge and tiny vectors; a score of NaN comes first, as in Spark's order."""
+    given = {0: [1.0, 0.0], 1: [0.0, 0.0], 2: None, 3: [1.0], 4: [float("nan"), 1.0], 5: [1e-90, 1e-90], 6: [-1e90, 1e90], 7: [2.0, 1e-9], 8: [-1.0, 0.0], 9: [float("inf"), 0.0]}
+    batches = [pd.DataFrame({"vec_id": [i], "embedding": [None if v is None else np.array(v)]}) for i, v in given.items()]
+    together = [pd.concat(batches)]
+    asked = [(0, [1.0, 0.0]), (1, None), (2, [-3.0]), (3, [0.0, 0.0]), (4, [1e-90, 0.0])]
+    want = {0: [9, 0, 7, 5], 1: [0, 1, 2, 3], 2: [0, 1, 2, 4], 3: [0, 1, 2, 3], 4: [9, 0, 7, 5]}
+    for given in (batches, together):
+        found, _ = searched(spark, monkeypatch, asked, given, 4)
+        got = {}
+        for q, rows in found.groupby("query_id"):
+            rows = rows.assign(first=rows["score"].isna(), score=rows["score"].round(9)).sort_values(["first", "score", "vec_id"], ascending=[False, False, True])
+            got[q] = rows["vec_id"].tolist()
+        assert got == want
+
+
 # --- batches of bounded bytes ---------------------------------------------------------------------
 
 
